@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
     for b in batches:
         if b.num_rows == 0:
             continue
-        sizes = np.nan_to_num(pa.compute.binary_length(b.column(text)).to_numpy(zero_copy_only=False).astype(float))
+        sizes = np.nan_to_num(pc.binary_length(b.column(text)).to_numpy(zero_copy_only=False).astype(float))
         cum, at = np.cumsum(sizes), 0
         while at < b.num_rows:
             base = cum[at - 1] if at else 0
@@ -77,13 +78,13 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Row starts (n+1) and the flat words of each text; null counts as empty. Words are split at ASCII white space."""
-    texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     # One cast to plain lists: the kernel keeps empty strings at the ends, which are no words.
-    lists = pa.compute.ascii_split_whitespace(texts)
+    lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten()
     starts = lists.offsets.to_numpy().astype(np.int64)
     starts = starts - starts[0]
-    full = pa.compute.greater(pa.compute.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     if not full.all():
         starts = np.concatenate([[0], np.cumsum(full)])[starts]
         flat = flat.filter(pa.array(full))
@@ -97,7 +98,7 @@ def row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def lower_ascii(texts: pa.Array) -> pa.Array:
-    return pa.compute.ascii_lower(pa.compute.fill_null(texts, ""))
+    return pc.ascii_lower(pc.fill_null(texts, ""))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
