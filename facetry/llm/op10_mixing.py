@@ -61,8 +61,13 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3, sch
     of a source are dealt by the md5 of their id into 4096 runs a source, which are summed before any window,
     so no window holds a whole source; only source names and sizes reach the driver, MAX_SOURCES at most.
     """
+    at = _planned(docs, weights, cap, schedules, id_col, text_col, source_col, carry=False)
+    return at.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "position")
+
+
+def _planned(docs: DataFrame, weights: Sequence[float], cap: int, schedules: Sequence[Sequence[tuple[float, float]]], id_col: str, text_col: str, source_col: str, carry: bool) -> DataFrame:
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), order.alias("key"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), order.alias("key"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     rows = rows.withColumn("run", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
     runs = rows.groupBy("source", "run").agg(F.sum("size").alias("words"))
     found = [(r["source"], r["words"]) for r in runs.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()]
@@ -80,7 +85,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3, sch
     times = sum((F.when((F.col("size") > 0) & (start + r * F.col("source_size") < F.col("target")), 1).otherwise(0) for r in range(1, cap)), F.when((F.col("size") > 0) & (start < F.col("target")), 1).otherwise(0))
     at = at.withColumn("start", start).withColumn("times", times.cast("int"))
     where = occurrence_position(F.col("start"), schedules)
-    return at.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), F.when(F.col("times") > 0, where).alias("position"), "start", "schedule")
+    return at.withColumn("position", F.when(F.col("times") > 0, where))
 
 
 def occurrence_position(start: Column, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> Column:
@@ -92,26 +97,15 @@ def occurrence_position(start: Column, schedules: Sequence[Sequence[tuple[float,
     return out
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
+def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, range-sorted by training position.
 
-    Its rows and columns are those of ``docs``; a document without words is never taken. Null ids are allowed.
+    Its columns are those of ``docs``; a document without words is never taken. Null ids are allowed.
     """
-    ids, text, source = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    cap, schedules = options.get("cap", 3), options.get("schedules", SCHEDULES)
-    plan = mixed(docs, **options).where("times > 0").select(F.col(ids).alias("_i"), F.col(source).alias("_s"), F.col("size").alias("_n"), "times", "start", "source_size", "target", "schedule")
-    # Rows alike in id, source and size share their plan: each is given one of its entries.
-    plan = plan.groupBy("_i", "_s", "_n").agg(F.sort_array(F.collect_list(F.struct("start", "times", "source_size", "target", "schedule"))).alias("_plan"))
-    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    named = docs.withColumn("_n0", size)
-    same = Window.partitionBy(ids, source, "_n0").orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    named = named.withColumn("_k", F.row_number().over(same))
-    got = named.join(plan, named[ids].eqNullSafe(F.col("_i")) & named[source].eqNullSafe(F.col("_s")) & (F.col("_n0") == F.col("_n")))
-    got = got.withColumn("_p", F.get("_plan", F.col("_k") - 1)).where("_p is not null")
-    got = got.select(*[docs[c] for c in docs.columns], "_p.*").withColumn("_round", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    at = occurrence_position(F.col("start") + F.col("_round") * F.col("source_size"), schedules)
-    assert cap >= 1
-    return got.withColumn("_at", at).orderBy("_at", ids, "_round").select(*docs.columns)
+    plan = _planned(docs, weights, cap, schedules, id_col, text_col, source_col, carry=True).where("times > 0")
+    plan = plan.withColumn("round", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    at = occurrence_position(F.col("start") + F.col("round") * F.col("source_size"), schedules)
+    return plan.select(at.alias("at"), "id", "round", "row").orderBy("at", "id", "round").select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
