@@ -204,7 +204,10 @@ class Level:
         return out
 
     def find(self, parent: np.ndarray | None, word: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-        """(node, count or quantised probability) of each query; -1 and 0 where there is none. Level 1 has no parents."""
+        """(node, count or quantised probability) of each query; -1 and 0 where there is none. Level 1 has no parents.
+
+        Queries come sorted by parent, if they have one: each context is then sought once in a segment.
+        """
         node, got = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64)
         order, cuts = by_segment(place(parent, word, self.segments), self.segments)
         for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
@@ -214,16 +217,19 @@ class Level:
                 at = seg["word"].find(word[i])
             else:
                 at = np.full(len(i), -1, np.int64)
-                ctx = seg["context"].find(parent[i])
+                above = parent[i]
+                first = np.flatnonzero(np.concatenate([[True], above[1:] != above[:-1]]))
+                ctx = seg["context"].find(above[first])
                 known = np.flatnonzero(ctx >= 0)
-                if len(known):
-                    c, w = ctx[known], word[i[known]]
-                    lo, hi = seg["pointer"][c].astype(np.int64), seg["pointer"][c + 1].astype(np.int64)
-                    words = seg["last"]
+                run = np.diff(np.append(first, len(i)))[known]
+                q = np.repeat(first[known], run) + np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+                if len(q):
+                    lo, hi = (np.repeat(seg["pointer"][ctx[known] + d].astype(np.int64), run) for d in (0, 1))
+                    words, w = seg["last"], word[i[q]]
                     p = successor(lambda k, words=words: words[k], lo, hi, w)
                     ok = np.flatnonzero(p < hi)
                     ok = ok[words[p[ok]] == w[ok]]
-                    at[known[ok]] = p[ok]
+                    at[q[ok]] = p[ok]
             hit = at >= 0
             node[i[hit]] = at[hit] + self.base[s]
             got[i[hit]] = seg[kind][at[hit]]
@@ -248,7 +254,7 @@ def place(parent: np.ndarray | None, word: np.ndarray, segments: int) -> np.ndar
 
 
 def by_segment(seg: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(seg.astype(np.int32), kind="stable")
+    order = np.argsort(seg.astype(np.int16 if segments < 1 << 15 else np.int32), kind="stable")  # short numbers sort by radix
     return order, np.concatenate([[0], np.cumsum(np.bincount(seg, minlength=segments))])
 
 
@@ -293,38 +299,53 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(w, SEED) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), U, len(coded.dictionary))
     with_end = starts + np.arange(len(starts))
-    code = np.full(with_end[-1], len(h), np.int64)
+    code = np.full(with_end[-1], len(h), np.int32)
     inner = np.ones(len(code), bool)
     inner[with_end[1:] - 1] = False
     code[inner] = coded.indices.to_numpy()
     return with_end, code, np.append(h, END)
 
 
-def histories(levels: list[Level], starts: np.ndarray, code: np.ndarray, hashes: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1 .. top: (n, node of the n-gram that ends at each token or -1, its count or quantised p, its context's node)."""
+def histories(levels: list[Level], starts: np.ndarray, code: np.ndarray, hashes: np.ndarray, top: int, min_count: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 1 .. top: (n, node of the n-gram that ends at each token or -1, its count or quantised p, its context's weight or -1)."""
     node, got = levels[0].find(None, hashes, "count")
-    word, count = node[code], got[code]
-    yield 1, word, count, np.full(len(code), -1, np.int64)
-    rank = np.arange(len(code)) - np.repeat(starts[:-1], np.diff(starts))
-    last = word
+    weight = np.full(len(hashes), -1, np.int32)
+    if len(levels) > 1:
+        weight[node >= 0] = levels[0].gather(node[node >= 0], "weight")
+    last, given = node[code], weight[code]
+    word, often = last, (got >= min_count)[code]
+    yield 1, last, got[code], np.full(len(code), -1, np.int32)
+    rank = (np.arange(len(code)) - np.repeat(starts[:-1], np.diff(starts))).astype(np.int32)
     for n in range(2, top + 1):
-        parent = np.full(len(code), -1, np.int64)
-        parent[1:] = last[:-1]
-        parent[rank < n - 1] = -1
-        live = np.flatnonzero((parent >= 0) & (word >= 0))
-        w = levels[n - 2].gather(parent[live], "weight")
-        live = live[w > 0]  # others have no children
-        node, q = np.full(len(code), -1, np.int64), np.zeros(len(code), np.int64)
-        node[live], q[live] = levels[n - 1].find(parent[live], word[live], "p")
-        yield n, node, q, parent
-        last = node
+        before = np.full(len(code), -1, np.int32)
+        before[1:] = given[:-1]
+        before[rank < n - 1] = -1
+        # A weight of 0 steps says that the context has no children; a rare word is nobody's child.
+        live = np.flatnonzero((before > 0) & often)
+        key = last[live - 1] * (levels[0].base[-1] + 1) + word[live]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        parent, w = np.divmod(key[new], levels[0].base[-1] + 1)
+        found, q = levels[n - 1].find(parent, w, "p")
+        which = np.cumsum(new) - 1
+        last, at = np.full(len(code), -1, np.int64), live[order]
+        last[at] = found[which]
+        p = np.zeros(len(code), np.uint16)
+        p[at] = q[which]
+        given = np.full(len(code), -1, np.int32)
+        if n < len(levels):
+            weight = np.full(len(found), -1, np.int32)
+            weight[found >= 0] = levels[n - 1].gather(found[found >= 0], "weight")
+            given[at] = weight[which]
+        yield n, last, p, before
 
 
 def _counted(docs: DataFrame, levels: list[Level], n: int, segments: int, min_count: int) -> DataFrame:
     """(seg, blob) of the n-grams of ``docs``: keys and counts, packed for each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text", 32 << 20):
+        for b in blocks(batches, "text", (32 if n == 1 else 16 if n == 2 else 8) << 20):
             starts, code, hashes = tokens_of(b.column("text"))
             if n == 1:
                 count = np.bincount(code, minlength=len(hashes))
@@ -333,21 +354,20 @@ def _counted(docs: DataFrame, levels: list[Level], n: int, segments: int, min_co
                 keys, count = [hashes[used].view(np.int64)], count[used]
                 seg = place(None, hashes[used], segments)
             else:
-                node, got = levels[0].find(None, hashes, "count")
-                word = np.where(got >= min_count, node, -1)[code]
-                last = word
+                *_, (_, last, got, _) = histories(levels, starts, code, hashes, n - 1, min_count)
+                word, most = last, levels[0].base[-1] + 1
                 if n > 2:
-                    for _, last, *_ in histories(levels, starts, code, hashes, n - 1):
-                        pass
+                    node, got = levels[0].find(None, hashes, "count")
+                    word, got = node[code], got[code]
                 rank = np.arange(len(code)) - np.repeat(starts[:-1], np.diff(starts))
-                i = np.flatnonzero((rank[1:] >= n - 1) & (last[:-1] >= 0) & (word[1:] >= 0) & ((last[1:] >= 0) | (n == 2))) + 1
-                parent, w = last[i - 1], word[i]
-                order = np.lexsort((w, parent))
-                parent, w = parent[order], w[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (parent[1:] != parent[:-1]) | (w[1:] != w[:-1])
-                at = np.flatnonzero(new)
-                count = np.diff(np.append(at, len(order)))
+                often = got >= min_count
+                # Both the n-gram's first and its last n - 1 words are nodes, and its words are frequent enough.
+                i = np.flatnonzero((rank[1:] >= n - 1) & (last[:-1] >= 0) & (last[1:] >= 0) & often[1:] & (often[:-1] if n == 2 else True)) + 1
+                key = np.sort(last[i - 1] * most + word[i])
+                at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                count = np.diff(np.append(at, len(key)))
+                parent, w = np.divmod(key[at], most)
+                at = slice(None)
                 keys = [parent[at], w[at]]
                 seg = place(keys[0], keys[1], segments)
             order, cuts = by_segment(seg, segments)
@@ -361,6 +381,8 @@ def _counted(docs: DataFrame, levels: list[Level], n: int, segments: int, min_co
 def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, text_col: str = "text") -> tuple[list[Level], int]:
     """The levels of a model of all texts, and the number of training tokens.
 
+    Keys of a context and a word are one number, so nodes times words must stay below 2^63.
+
     Null texts count as empty; an empty text is one end. An empty table gives levels without nodes.
     """
     spark = docs.sparkSession
@@ -426,7 +448,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, text_
     return levels, total
 
 
-def scores(docs: DataFrame, levels: list[Level], total: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, levels: list[Level], total: int, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) for every row: add-one unigrams, and the model.
 
     Null texts count as empty: one end. Rows are kept, a row for a row.
@@ -436,17 +458,16 @@ def scores(docs: DataFrame, levels: list[Level], total: int, id_col: str = "doc_
     floor = total + levels[0].base[-1] + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text", 16 << 20):
+        for b in blocks(batches, "text"):
             starts, code, hashes = tokens_of(b.column("text"))
-            for n, _, got, parent in histories(levels, starts, code, hashes, len(levels)):
+            for n, node, got, before in histories(levels, starts, code, hashes, len(levels), min_count):
                 if n == 1:
                     count, p = got, (got + 1) / floor
                     base = np.log10(p)
                     continue
-                live = np.flatnonzero(parent >= 0)
-                weight = value(levels[n - 2].gather(parent[live], "weight"))
-                seen = _ >= 0
-                p[live] = weight * p[live]
+                live = np.flatnonzero(before > 0)
+                p[live] *= value(before[live])
+                seen = np.flatnonzero(node >= 0)
                 p[seen] += value(got[seen])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(starts)), pa.array(row_sums(count > 0, starts)), pa.array(row_sums(base, starts)), pa.array(row_sums(np.log10(p), starts))], ["id", "n_tokens", "n_known", "base_score", "score"])
 
