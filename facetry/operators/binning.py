@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.labels import MISSING, ORD, accuracy, bin_labels, bin_place, place_label, round_number
+from facetry.functions.workers import find_us
 from facetry.operators.frame import fill_missing, integral, map_values, numeric
 
 
@@ -127,6 +128,7 @@ def cart_cutoffs(value: np.ndarray, n: np.ndarray, t: np.ndarray, least: int) ->
 def tree_cutoffs(df: DataFrame, names: Sequence[str], target: str, min_prc: float = 15.0) -> DataFrame:
     """(variable, cutoffs) by a tree for each variable, grown from its histogram in one grouped task."""
     min_prc = max(min_prc, 0.001)
+    find_us(df.sparkSession)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         total, known = pdf["n"].sum(), pdf[pdf["value"].notna()].sort_values("value")
