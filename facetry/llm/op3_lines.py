@@ -43,7 +43,8 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     low, high = min_sites * (1 - near) - 1, min_sites * (1 + near) + 1
     sure = seen.where(F.col("sites") > high).select("h1", "h2")
     doubtful = seen.where((F.col("sites") >= low) & (F.col("sites") <= high)).select("h1", "h2")
-    exact = known.join(doubtful, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
+    # Folded to one row a line and site before any join, so that a hot line's rows never meet in one task.
+    exact = known.groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).join(doubtful, ["h1", "h2"], "left_semi")
     exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
     return sure.union(exact)
 
