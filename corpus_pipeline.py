@@ -34,9 +34,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id; repeated rows leave one."""
+    """One document of each group of near duplicates: the one of the smallest id, null ids last; repeated rows leave one."""
     keyed = docs.withColumn("_h", F.xxhash64("text")).withColumn("_k", F.xxhash64("doc_id", "_h"))
-    groups = near_duplicates(keyed.select(F.struct("doc_id", "_h", "_k").alias("doc_id"), "text"))
+    groups = near_duplicates(keyed.select(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_h", "_k").alias("doc_id"), "text"))
     kept = groups.where(F.col("doc_id") == F.col("component")).select(F.col("doc_id._k").alias("_k")).distinct()
     return keyed.join(kept, "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
 
