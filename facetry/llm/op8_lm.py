@@ -39,6 +39,12 @@ SEGMENT, LEAST = 64 << 20, 48
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end", SEED))
 STEP = 2047.0  # quantisation: 16 bits of -log2, in steps of 1 / STEP
 U = np.uint64
+#: The lowest and the highest bit of each byte; place of the k-th set bit of a byte at 256 k + byte.
+ONES, TOPS = U(0x0101010101010101), U(0x8080808080808080)
+SELECT = np.zeros(8 * 256, U)
+for _b in range(256):
+    for _k, _p in enumerate(p for p in range(8) if _b >> p & 1):
+        SELECT[_k << 8 | _b] = _p
 
 
 class EliasFano:
@@ -47,6 +53,7 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str) -> None:
         self.n, self.bits = (int(x) for x in arrays[f"{name}.size"])
         self.low, self.high, self.ones, self.zeros = (arrays[f"{name}.{k}"] for k in ("low", "high", "ones", "zeros"))
+        self.top: int | None = None  # high part of the last element
 
     @staticmethod
     def build(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
@@ -70,15 +77,14 @@ class EliasFano:
 
     @staticmethod
     def _pick(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th set bit of each word."""
-        at, k = np.zeros(len(word), U), k.astype(np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            n = np.bitwise_count(word & U((1 << half) - 1)).astype(np.int64)
-            right = k >= n
-            k = k - np.where(right, n, 0)
-            at += np.where(right, U(half), U(0))
-            word = np.where(right, word >> U(half), word)
-        return at.astype(np.int64)
+        """Place of the k-th set bit of each word: running bit counts of its bytes lead to a byte, a table into it."""
+        c = word - ((word >> U(1)) & U(0x5555555555555555))
+        c = (c & U(0x3333333333333333)) + ((c >> U(2)) & U(0x3333333333333333))
+        c = ((c + (c >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * ONES
+        k = k.astype(U)
+        byte = np.bitwise_count(((k * ONES) | TOPS) - c & TOPS).astype(U) << U(3)
+        rest = k - ((c << U(8)) >> byte & U(255))
+        return (byte + SELECT[(rest << U(8)) | (word >> byte & U(255))]).astype(np.int64)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -99,17 +105,29 @@ class EliasFano:
         w = np.minimum(w, len(self.high) - 1)
         return w * 64 + self._pick(~self.high[w], h - self.zeros[w]) - h
 
+    def runs(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Elements [lo, hi) whose high part is h: the ones from the zero before them to the next zero."""
+        lo = np.where(h > 0, self.ends(np.maximum(h - 1, 0)), 0)
+        at = lo + h
+        word, off = self.high[at >> 6], (at & 63).astype(U)
+        rest = word >> off
+        run = np.bitwise_count(rest & ~(rest + U(1))).astype(np.int64)
+        hi = lo + run
+        cross = np.flatnonzero(off.astype(np.int64) + run >= 64)  # the run goes on in the next word
+        hi[cross] = self.ends(h[cross])
+        return lo, hi
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of each x, -1 if it is not in the sequence: the successor in its high part's run is compared."""
         x = x.astype(U)
         out = np.full(len(x), -1, np.int64)
-        if not self.n:
+        if not self.n or not len(x):
             return out
-        h = (x >> U(self.bits)).astype(np.int64)
-        inside = np.flatnonzero((h >= 0) & (h < self.zeros[-1] - 1) & (h <= int(self[np.array([self.n - 1])][0]) >> self.bits))
-        x, h = x[inside], h[inside]
-        hi = self.ends(h)
-        lo = np.where(h > 0, self.ends(np.maximum(h - 1, 0)), 0)
+        if self.top is None:
+            self.top = int(self[np.array([self.n - 1])][0]) >> self.bits
+        inside = np.flatnonzero(x >> U(self.bits) <= U(self.top))
+        x = x[inside]
+        lo, hi = self.runs((x >> U(self.bits)).astype(np.int64))
         want = x & U((1 << self.bits) - 1)
         at = successor(lambda i: self.lows(i), lo, hi, want)
         ok = np.flatnonzero(at < hi)
@@ -162,6 +180,7 @@ def load(uri: str) -> dict[str, np.ndarray]:
                 f.write(part)
             f.flush()
             raw = np.memmap(f, np.uint8, "r")
+    raw = raw.view(np.ndarray)  # plain slices of the map
     n = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + n].tobytes())
     return {k: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for k, (kind, at, size) in head.items()}
