@@ -4,8 +4,8 @@ Targets: sources by code point, null last, get weights and share the total by we
 times its size, and the excess is reshared by weight. Positions: a source's schedule g(t) >= 0 on [0, 1] is
 integrated to G(t); the source has asked for target * G(t) / G(1) words by time t. Its documents, in a fixed
 pseudo-random order and repeated in rounds, fill that demand one after another, so an occurrence whose words
-start at c gets the position t with target * G(t) / G(1) = c. Occurrences that start at or past the target are
-not taken. The mix is range-sorted by position.
+start at c gets the position t with target * G(t) / G(1) = c. An occurrence is taken if its middle word is not
+past the target, so a source's words miss the target by half a document at most. The mix is range-sorted by position.
 """
 
 from __future__ import annotations
@@ -82,7 +82,8 @@ def _planned(docs: DataFrame, weights: Sequence[float], cap: int, schedules: Seq
     at = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(runs, F.col("source").eqNullSafe(F.col("rs")) & (F.col("run") == F.col("rr")), "left")
     start = F.col("ahead") + F.col("inside")
     # Round r of a document starts at r * source_size + start.
-    times = sum((F.when((F.col("size") > 0) & (start + r * F.col("source_size") < F.col("target")), 1).otherwise(0) for r in range(1, cap)), F.when((F.col("size") > 0) & (start < F.col("target")), 1).otherwise(0))
+    taken = lambda r: F.when((F.col("size") > 0) & (2 * (start + r * F.col("source_size")) + F.col("size") <= 2 * F.col("target")), 1).otherwise(0)
+    times = sum((taken(r) for r in range(1, cap)), taken(0))
     at = at.withColumn("start", start).withColumn("times", times.cast("int"))
     where = occurrence_position(F.col("start"), schedules)
     return at.withColumn("position", F.when(F.col("times") > 0, where))
@@ -125,7 +126,7 @@ c as (select *, sum(weight) over (order by cap / weight desc, i desc rows betwee
 lv as (select arg_min(level, ratio) as level from (select (total - used) / w_open as level, cap / weight as ratio from c) where level <= ratio),
 t as (select source, source_size, i % 3 as schedule, case when lv.level is null or cap <= lv.level * weight then cap else lv.level * weight end as target from c, lv),
 x as (select d.*, coalesce(sum(d.size) over (partition by d.source order by k, doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as start from d),
-y as (select x.doc_id, x.size, t.source_size, t.target, t.schedule, x.start, case when x.size > 0 then (start < target)::int + (start + t.source_size < target)::int + (start + 2 * t.source_size < target)::int else 0 end as times from x join t on x.source is not distinct from t.source)
+y as (select x.doc_id, x.size, t.source_size, t.target, t.schedule, x.start, case when x.size > 0 then (2 * start + x.size <= 2 * target)::int + (2 * (start + t.source_size) + x.size <= 2 * target)::int + (2 * (start + 2 * t.source_size) + x.size <= 2 * target)::int else 0 end as times from x join t on x.source is not distinct from t.source)
 select doc_id, size, source_size, target, (times * size)::bigint as taken,
   round(case when times > 0 then case schedule when 0 then start / target when 1 then sqrt(0.25 + 2 * start / target) - 0.5 else 1.5 - sqrt(greatest(0, 2.25 - 2 * start / target)) end end, 9) as "position"
 from y
