@@ -302,7 +302,7 @@ class Codec:
         i = 0
         while i < len(order):  # parts of like length, in tables of bounded size
             top = int(n[order[i]])
-            j = i + max(1, min((1 << 21) // (top + 1), 1 << 17))
+            j = i + max(1, min((1 << 20) // (top + 1), 1 << 16))
             j = min(j, int(np.searchsorted(-n[order], -(top // 2), side="right"))) if top > 16 else j
             part = order[i : max(j, i + 1)]
             count[part], ids = self._parts(ddata, doff[part], n[part])
@@ -350,7 +350,7 @@ def encoded(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in blocks(batches, text_col, 16 << 20):
+        for b in blocks(batches, text_col, 2 << 20):
             texts = pc.fill_null(b.column(text_col), "")
             starts, ids = c.encode(texts)
             same = pc.equal(c.decode(starts, ids), texts.cast(pa.large_binary()))

@@ -30,6 +30,8 @@ for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRST
         _CLASS[_c] = _i
 _CLASS[0xC0:] = 9  # first byte of a character past ASCII
 CLASSES = 10
+#: Bytes of text that a worker takes at once.
+BLOCK = 2 << 20
 OWN = 16
 
 
@@ -187,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", BLOCK):
             starts, x, length = line_table(b.column("text"))
             parts = [np.column_stack([x[s:e], length[s:e]])[_spread(e - s)] for s, e in zip(starts, starts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("y"), pa.array([p.astype(np.float32).ravel() for p in parts], pa.list_(pa.float32()))], ["id", "y", "x"])
@@ -216,7 +218,7 @@ def scored(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", BLOCK):
             z = field.slope * document_logits(field, *line_table(b.column("text"))) + field.shift
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(1 / (1 + np.exp(-z.clip(-500, 500))))], ["id", "score"])
 
@@ -229,7 +231,7 @@ def quality_filter(docs: DataFrame, field: Field, least: float = 0.5, text_col:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text_col):
+        for b in blocks(batches, text_col, BLOCK):
             z = field.slope * document_logits(field, *line_table(b.column(text_col))) + field.shift
             yield b.filter(pa.array(1 / (1 + np.exp(-z.clip(-500, 500))) >= least))
 

@@ -42,8 +42,11 @@ def simhashes(texts: pa.Array, words: int = 4) -> np.ndarray:
     first = np.repeat(starts[:-1], shingles) + rank
     last = np.minimum(first + words, np.repeat(starts[1:], shingles)) - 1
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(buf[a:b], SEED) for a, b in zip(begins[first].tolist(), ends[last].tolist(), strict=True)), np.uint64, at[-1])
-    step = 1 << 18
+    step = 1 << 16
+    h = np.empty(at[-1], np.uint64)
+    for i in range(0, len(h), step):
+        a, b = begins[first[i : i + step]].tolist(), ends[last[i : i + step]].tolist()
+        h[i : i + step] = np.fromiter((digest(buf[x:y], SEED) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
     votes = np.zeros((len(texts), 64), np.int64)
     row = np.repeat(np.arange(len(texts)), shingles)
     for i in range(0, len(h), step):
@@ -61,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(simhashes(b.column("text"), words).view(np.int64))], ["id", "fp"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
