@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.workers import find_us
 from facetry.operators.binning import histogram
+from facetry.operators.running import running
 
 
 def share_groups(df: DataFrame, names: Sequence[str], min_size: float = 5.0, rnd: int = 2) -> DataFrame:
     """(variable, grp, prc, value): groups of rounded values by running share; a value above the size is half a group lower."""
-    h = histogram(df, names).withColumn("total", F.sum("n").over(Window.partitionBy("variable")))
-    h = h.where("value is not null").groupBy("variable", F.bround("value", rnd).alias("value"), "total").agg(F.sum("n").alias("n")).withColumn("prc", 100.0 * F.col("n") / F.col("total"))
-    run = F.sum("n").over(Window.partitionBy("variable").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    group = F.floor(100.0 * run / F.col("total") / min_size) - F.when(F.col("prc") > min_size, 0.5).otherwise(0.0)
+    h = histogram(df, names)
+    totals = h.groupBy("variable").agg(F.sum("n").alias("total"))
+    h = h.where("value is not null").groupBy("variable", F.bround("value", rnd).alias("value")).agg(F.sum("n").alias("n"))
+    h = running(h, "value", ["n"], ["variable"]).join(F.broadcast(totals), "variable").withColumn("prc", 100.0 * F.col("n") / F.col("total"))
+    group = F.floor(100.0 * F.col("run_n") / F.col("total") / min_size) - F.when(F.col("prc") > min_size, 0.5).otherwise(0.0)
     return h.withColumn("grp", group).groupBy("variable", "grp").agg(F.sum("prc").alias("prc"), F.max("value").alias("value"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.operators.reports import ratio
+from facetry.operators.running import running
 
 
 def cramers_v(df: DataFrame, one: str, two: str, corrected: bool = True) -> DataFrame:
@@ -41,8 +42,7 @@ def correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def ranked(df: DataFrame, name: str) -> DataFrame:
     """(value, rank): average rank of each distinct value, by running counts over distinct values."""
     g = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return g.select("value", (before + (F.col("n") + 1) / 2.0).alias("rank"))
+    return running(g, "value", ["n"]).select("value", (F.col("run_n") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
 def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -81,8 +81,12 @@ def top_correlations(matrix: DataFrame, top: int) -> DataFrame:
 def score_steps(df: DataFrame, pred: str, fact: str) -> DataFrame:
     """(score, n, t, cn, ct): rows and hits of each distinct score, and of all scores at least as high."""
     g = df.where(F.col(pred).isNotNull() & F.col(fact).isNotNull()).groupBy(F.col(pred).cast("double").alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(fact).cast("long")).alias("t"))
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("cn", F.sum("n").over(w)).withColumn("ct", F.sum("t").over(w))
+    return running(g, "score", ["n", "t"], descending=True).withColumnsRenamed({"run_n": "cn", "run_t": "ct"})
+
+
+def with_totals(steps: DataFrame) -> DataFrame:
+    """Steps plus nn and tt, their sums, as one row beside each."""
+    return steps.crossJoin(F.broadcast(steps.agg(F.sum("n").alias("nn"), F.sum("t").alias("tt"))))
 
 
 def roc_auc(df: DataFrame, pred: str, fact: str) -> DataFrame:
@@ -96,13 +100,12 @@ def roc_auc(df: DataFrame, pred: str, fact: str) -> DataFrame:
 
 def pr_curve(df: DataFrame, pred: str, fact: str) -> DataFrame:
     """(threshold, precision, recall) at each distinct score."""
-    total = F.sum("t").over(Window.partitionBy())
-    return score_steps(df, pred, fact).select(F.col("score").alias("threshold"), ratio(F.col("ct"), F.col("cn")).alias("precision"), ratio(F.col("ct"), total).alias("recall"))
+    return with_totals(score_steps(df, pred, fact)).select(F.col("score").alias("threshold"), ratio(F.col("ct"), F.col("cn")).alias("precision"), ratio(F.col("ct"), F.col("tt")).alias("recall"))
 
 
 def lift(df: DataFrame, pred: str, fact: str) -> DataFrame:
     """(score, share_all, share_target) of all scores at least as high."""
-    return score_steps(df, pred, fact).select("score", ratio(F.col("cn"), F.sum("n").over(Window.partitionBy())).alias("share_all"), ratio(F.col("ct"), F.sum("t").over(Window.partitionBy())).alias("share_target"))
+    return with_totals(score_steps(df, pred, fact)).select("score", ratio(F.col("cn"), F.col("nn")).alias("share_all"), ratio(F.col("ct"), F.col("tt")).alias("share_target"))
 
 
 def calibration(df: DataFrame, pred: str, fact: str, bins: Sequence[float]) -> DataFrame:

@@ -167,7 +167,7 @@ def query(name: str, sql: str | None = None):
     def put(f: Callable[[SparkSession, str], DataFrame]):
         Q[name] = lambda spark, sf: r6(f(spark, sf))
         if sql:
-            SQL[name] = sql
+            SQL[name] = sql.replace(", 6)", ", 6) + 0.0::double")  # no negative zeros, as in r6
         return f
 
     return put

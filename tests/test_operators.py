@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from facetry.functions.labels import MISSING, NOT_MISSING, ORD, accuracy, bin_labels, number_text
 from facetry.operators import binning, cross, frame, legacy, reports, scores
 from facetry.operators.cache import ReportCache
+from facetry.operators.running import running
 
 
 def greedy(spark, values, min_prc=15.0, kind="int"):
@@ -130,6 +131,20 @@ def test_scores(spark):
     assert [x["count"] for x in scores.calibration(df, "p", "y", [0, 0.5, 0.95, 1]).orderBy("bin").collect()] == [3, 3, 0]
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_over_ranges(spark, descending):
+    rng = np.random.default_rng(4)
+    cells = {(g, float(v)): int(n) for g in "ab" for v, n in zip(np.unique(rng.normal(size=3000).round(3)), rng.integers(1, 9, 3000), strict=False)}
+    df = spark.createDataFrame([(*k, n) for k, n in cells.items()] + [("a", None, 5)], "g string, v double, n int")
+    got = running(df, "v", ["n"], ["g"], descending).collect()
+    want, sums = {}, {"a": 0, "b": 0}
+    for (g, v), n in sorted(cells.items(), key=lambda x: x[0][1], reverse=descending):
+        sums[g] += n
+        want[g, v] = sums[g]
+    assert {(r["g"], r["v"]): r["run_n"] for r in got} == want
+    assert running(df.where("n < 0"), "v", ["n"]).count() == 0
+
+
 def test_kendall(spark):
     df = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "a int, b int")
     assert scores.kendall(df, "a", "b").first()["tau"] == pytest.approx(1)
