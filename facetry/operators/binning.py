@@ -166,15 +166,15 @@ def binned(df: DataFrame, cuts: Mapping[str, Sequence[float]], legacy: bool = Fa
     return df.withColumns({c: place_label(F.col(c + ORD), bin_labels(x, legacy), missing) for c, x in cuts.items()})
 
 
-def prepared(df: DataFrame, names: Sequence[str], target: str | None = None, maps: Mapping | None = None, binning: Spec = True, by_target: bool = True) -> DataFrame:
-    """Report-ready variables: unbinned ones filled and mapped, then numeric ones binned.
+def prepared(df: DataFrame, names: Sequence[str], target: str | None = None, maps: Mapping | None = None, binning: Spec = True, by_target: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """Report-ready variables: unbinned ones filled and mapped, then numeric ones binned; ``keep`` stays as it is.
 
     Values of unbinned variables keep their rank as place if they are numbers; text has place 1.
     """
     specs = normalized(binning, names, df)
     cuts = cutoffs(df, specs, target if by_target else None)
     rest = [c for c in names if c not in specs]
-    kept = df.select(*dict.fromkeys([*names, *([target] if target else [])]))
+    kept = df.select(*dict.fromkeys([*names, *([target] if target else []), *keep]))
     ranks = {c + ORD: F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(F.lit(1.0) + (F.col(c).cast("double") if numeric(df, c) else F.lit(0.0))) for c in rest}
     kept = fill_missing(kept.withColumns(ranks), dict.fromkeys(rest, MISSING))
     maps = dict(maps or {})

@@ -51,6 +51,20 @@ def cross_report(df: DataFrame, one: str, two: str, target: str | None = None, m
     return out if target else out.select("var1_name", "var1_value", "var2_name", "var2_value", "count", "population")
 
 
+def with_radius(report: DataFrame) -> DataFrame:
+    """A cross report plus radius of its pairs: population over the largest pair's, halved."""
+    pairs = F.when(F.col("var2_name").isNotNull(), F.col("population"))
+    largest = report.agg(F.max(pairs).alias("_top"))
+    return report.crossJoin(F.broadcast(largest)).withColumn("radius", ratio(pairs, F.col("_top")) / 2).drop("_top")
+
+
+def predicate_totals(df: DataFrame, predicates: Mapping[str, Column], target: str) -> DataFrame:
+    """(predicate, n, population, target, target_rate) of each predicate on its own, in one pass."""
+    y = F.col(target).cast("long")
+    cells = [F.struct(F.lit(k).alias("predicate"), F.count_if(p).alias("n"), (100 * ratio(F.count_if(p), F.count("*"))).alias("population"), F.coalesce(F.sum(F.when(p, y)), F.lit(0)).alias("target"), (100 * ratio(F.sum(F.when(p, y)), F.count_if(p))).alias("target_rate")) for k, p in predicates.items()]
+    return df.agg(F.array(*cells).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
 def regions(df: DataFrame, predicates: Mapping[str, Column], target: str) -> DataFrame:
     """Non-empty patterns of predicates with rows, share of all rows, target and rate; an empty region has no rate."""
     names = list(predicates)

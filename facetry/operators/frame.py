@@ -42,6 +42,17 @@ def drop_missing(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame
     return df.na.drop(subset=list(names) if names else None)
 
 
+def without_values(df: DataFrame, name: str, values: Sequence, missing: bool = False) -> DataFrame:
+    """Rows whose value is none of ``values``; nulls go too if ``missing``."""
+    gone = F.coalesce(F.col(name).isin(list(values)), F.lit(False)) if values else F.lit(False)
+    return df.where(~gone & (F.col(name).isNotNull() if missing else F.lit(True)))
+
+
+def any_of(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
+    """Rows where one of the variables at least has its value."""
+    return df.where(reduce(lambda a, b: a | b, [F.coalesce(F.col(c) == v, F.lit(False)) for c, v in values.items()]))
+
+
 def fill_missing(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Nulls replaced; a text for a column of another type turns the column into text."""
     return df.withColumns({c: F.coalesce(F.col(c).cast("string") if isinstance(v, str) else F.col(c), F.lit(v)) for c, v in values.items()})

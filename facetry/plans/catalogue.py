@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from facetry.functions.labels import MISSING, ORD, bin_labels
 from facetry.operators import binning, cross, frame, legacy, reports, scores
+from facetry.plans import analysis
 from facetry.sources.tables import parquet
 
 QTY, DISCOUNT, TAX, PRICE, BALANCE, CHARS = (10, 20, 30, 40), (0.03, 0.07), (0.02, 0.05), (100000, 200000), (0, 2500.5, 5000), (500, 1500, 3000)
@@ -313,4 +314,17 @@ query("lift", f"{_steps} select round(score, 6) as score, round(cn / nn, 6) as s
 _edges = [0.0, 0.25, 0.5, 0.75, 1.0, 1.25]
 query("calibration", f"{LI}, e as (select i::int as bin, i * 0.25::double as low, (i + 1) * 0.25::double as high from range(0, 5) t(i)), g as (select (ceil(l_quantity / 50 / 0.25::double) - 1)::int as bin, count(*)::bigint as count, round(avg(l_quantity / 50), 6) as predicted, round(avg(y), 6) as observed, round(100 * count(*)::double / sum(count(*)) over (), 6) as population from li group by 1) select e.bin, e.low, e.high, coalesce(count, 0) as count, predicted, observed, population from e left join g using (bin)")(lambda s, d: scores.calibration(scored(s, d), "p", "y", _edges))
 
+_fixed = {"c_acctbal": binning.Binning(cutoffs=BALANCE)}
+_wide = ["c_acctbal", "c_mktsegment", "o_orderkey", "o_orderpriority"]
+query("concentration_guarded", concentration_sql(OCB, list(OC_VARS), 1, 2))(lambda s, d: analysis.concentrated(oc(s, d), "y", 1, 2, _wide, binning=_fixed))
+query("stability_guarded", stability_sql(OCB, list(OC_VARS), 1, 1, "year") + " select * from stab")(lambda s, d: analysis.stable(oc(s, d), "year", names=_wide, target="y", binning=_fixed))
+query("ranked_variables", f"select var_name, total_iv, rank() over (order by total_iv desc, var_name)::int as place from (select distinct var_name, total_iv from ({iv_sql(base_sql('oc', OC_VARS), list(OC_VARS))}))")(lambda s, d: frame.numbered(r6(analysis.information(oc(s, d), "y", list(OC_VARS), binning=_fixed)[0]), [F.col("total_iv").desc(), F.col("var_name")], "place"))
+query("iv_report_tree")(lambda s, d: analysis.information(li(s, d), "y", NUM)[1])
+query("eligible_columns", "select * from (select 'event_type' as variable, count(distinct event_type)::bigint as n_unique from events union all select 'value', count(distinct value)::bigint from events union all select 'props', count(distinct props)::bigint from events) where variable = 'value' or n_unique <= 20")(lambda s, d: analysis.eligible(parquet(s, d, "events"), ["event_type", "value", "props"]))
+query("cross_radius", f"with c as ({_cross}), k as (select * from c {_near}) select *, round(case when var2_name is not null then population / (select max(population) from k where var2_name is not null) / 2 end, 6) as radius from k")(lambda s, d: cross.with_radius(r6(cross.cross_report(prepared(oc(s, d), _two), "c_mktsegment", "o_orderpriority", "y", 4.0))))
+query("venn_totals", f"{OC}, p as (select {', '.join(f'({v}) as {k}' for k, v in _pred.items())}, y from oc) " + " union all ".join(f"select '{k}' as predicate, count(*) filter ({k})::bigint as n, round(100 * count(*) filter ({k})::double / count(*), 6) as population, coalesce(sum(y) filter ({k}), 0)::bigint as target, round(100 * sum(y) filter ({k})::double / nullif(count(*) filter ({k}), 0), 6) as target_rate from p" for k in _pred))(lambda s, d: cross.predicate_totals(oc(s, d), {k: F.expr(v) for k, v in _pred.items()}, "y"))
+query("filter_values", f"{OC} select o_orderkey, o_orderstatus from oc where o_orderstatus not in ('F', 'P') or o_orderstatus is null")(lambda s, d: frame.without_values(oc(s, d).select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "P"]))
+query("filter_any", f"{OC} select o_orderkey from oc where o_orderstatus = 'P' or c_mktsegment = 'BUILDING'")(lambda s, d: frame.any_of(oc(s, d), {"o_orderstatus": "P", "c_mktsegment": "BUILDING"}).select("o_orderkey"))
+query("corr_kendall", f"{LI}, g as (select l_linenumber as x, y, count(*)::double as n from li group by 1, 2), p as (select sum(a.n * b.n * sign(b.x - a.x) * sign(b.y - a.y)) as s, sum(case when a.x <> b.x then a.n * b.n else 0 end) as dx, sum(case when a.y <> b.y then a.n * b.n else 0 end) as dy from g a cross join g b) select round(s / nullif(sqrt(dx * dy), 0), 6) as tau from p")(lambda s, d: scores.kendall(li(s, d), "l_linenumber", "y"))
+
 QUERIES = Q
