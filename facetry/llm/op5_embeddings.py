@@ -96,7 +96,8 @@ def linked(classes: DataFrame, threshold: float, window: int, recall: float) ->
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), p, np.int32)), part.column("label"), part.column("dim"), pa.array(k[:, p]), part.column("rep"), part.column("vec")], ["pass", "label", "dim", "key", "rep", "vec"])
 
     label, vec = (classes.schema[c].dataType.simpleString() for c in ("label", "vec"))
-    keyed = cut(classes.select("rep", "label", F.size("vec").alias("dim"), "vec").mapInArrow(keys, f"pass int, label {label}, dim int, key bigint, rep {rep}, vec {vec}"))
+    # Keys are made anew for the sample that range partitioning takes: cheaper than the vectors of all passes on disk.
+    keyed = classes.select("rep", "label", F.size("vec").alias("dim"), "vec").mapInArrow(keys, f"pass int, label {label}, dim int, key bigint, rep {rep}, vec {vec}")
     parts = max(1, min(100_000, total * passes // (16 * window)))
     order = ["pass", "label", "dim", "key", "rep"]
     dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
