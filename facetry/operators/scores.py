@@ -47,9 +47,9 @@ def ranked(df: DataFrame, name: str) -> DataFrame:
 
 def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(a, b, corr) of average ranks; rows with a null in any of the variables are left out."""
-    work = df.na.drop(subset=list(names)).select(*names)
+    base = work = df.na.drop(subset=list(names)).select(*names)
     for c in names:
-        work = work.join(ranked(work.select(c), c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}")), c)
+        work = work.join(ranked(base.select(c), c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}")), c)
     return correlations(work.select(*[F.col(f"_r_{c}").alias(c) for c in names]), names)
 
 
