@@ -6,6 +6,9 @@ each vector is compared with the ``window`` after it, and further as long as it
 are verified in double precision and united over the passes. The number of passes follows from the size of
 the largest label, so that a pair at the threshold is found with the wanted probability.
 
+A partition's edge ends the growth of its windows, so groups of more than ``window`` linked vectors are compared
+again as a whole, in tiles and exactly; each tile gives counts of partners, not pairs.
+
 Exact copies fold into one class first, and only class representatives are compared.
 """
 
@@ -25,6 +28,8 @@ from facetry.llm.common import SEED, components, cut, lookup, read, workers_find
 WINDOW = 64
 RECALL = 0.999
 BITS = 63
+#: Members of a tile.
+TILE = 2048
 
 
 def passes_for(n: int, threshold: float, window: int, recall: float) -> int:
@@ -146,6 +151,34 @@ def linked(classes: DataFrame, threshold: float, window: int, recall: float) ->
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def partner_counts(members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """(rep, more) for rows (component, label, rep, vec, n, members): the sum of n over all partners in the component.
+
+    Exact: a component is cut into tiles by hash, and a row goes to every pair of tiles that has its own.
+    """
+    rep = members.schema["rep"].dataType.simpleString()
+    rows = members.withColumn("cuts", F.ceil(F.col("members") / tile).cast("long")).withColumn("mine", F.pmod(F.xxhash64("rep"), "cuts"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).withColumn("dim", F.size("vec"))
+    rows = rows.select("component", "label", "dim", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"), (F.col("mine") == F.col("other")).alias("one"), "rep", "vec", "n")
+
+    def count(t: pa.Table) -> pa.Table:
+        v, n = unit(t["vec"].combine_chunks()), t["n"].to_numpy()
+        side, one = t["side"].to_numpy(), t["one"][0].as_py()
+        more = np.zeros(len(v), np.int64)
+        a, b = (np.arange(len(v)),) * 2 if one else (np.flatnonzero(~side), np.flatnonzero(side))
+        for i in range(0, len(a), 256):
+            x = a[i : i + 256]
+            near = v[x] @ v[b].T >= threshold
+            if one:
+                near[np.arange(len(x)), x] = False
+            more[x] += near @ n[b]
+            if not one:
+                more[b] += n[x] @ near
+        return pa.table({"rep": t["rep"], "more": pa.array(more)})
+
+    return rows.groupBy("component", "label", "dim", "low", "high").applyInArrow(count, f"rep {rep}, more bigint").groupBy("rep").agg(F.sum("more").alias("more"))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, window: int = WINDOW, recall: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component) for every row: vectors linked directly, and the smallest id reachable.
 
@@ -162,8 +195,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, window: int = WIND
     links = cut(linked(classes.select("rep", "label", "vec"), threshold, window, recall))
     sizes = classes.select("rep", "n")
     both = links.union(links.select("b", "a")).toDF("rep0", "rep")
-    partners = both.join(sizes, "rep").groupBy("rep0").agg(F.sum("n").alias("more")).select(F.col("rep0").alias("rep"), "more")
     groups = components(links).select(F.col("node").alias("rep"), "component")
+    large = groups.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > window)
+    large = cut(groups.join(large, "component"))
+    partners = both.join(large.select(F.col("rep").alias("rep0")), "rep0", "left_anti").join(sizes, "rep").groupBy("rep0").agg(F.sum("n").alias("more")).select(F.col("rep0").alias("rep"), "more")
+    partners = partners.union(partner_counts(classes.join(large, "rep"), threshold))
     known = classes.join(partners, "rep", "left").join(groups, "rep", "left")
     known = cut(known.select("label", "vec", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")))
     out = lookup(rows.where("good"), known, ["label", "vec"]).select("id", "n_links", "component")

@@ -154,6 +154,16 @@ def test_vectors_against_all_pairs(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component"] == i for i in range(300, 308))
 
 
+def test_a_large_group_of_near_copies_links_wholly(spark):
+    rng = np.random.default_rng(4)
+    v = (rng.normal(size=64) + rng.normal(scale=0.22, size=(3000, 64))).astype(np.float32)
+    got = {r["vec_id"]: r for r in op5_embeddings.near_vectors(spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()}
+    u = v.astype(float)
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    n = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert [got[i]["n_links"] for i in range(3000)] == n.tolist() and {r["component"] for r in got.values()} == {0}
+
+
 def test_vectors_of_an_empty_table(spark):
     assert op5_embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
