@@ -30,7 +30,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 SIFT = {"assign": r"""(?i)(password|passwd|secret|token|api_?key)["']? *[:=]""", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
 #: Parts of a name and how sensitive they make it.
 NAMES = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "passcode": 0.9, "pwd": 0.9, "secret": 1.0, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "credential": 0.8, "credentials": 0.8, "token": 0.9, "bearer": 0.8, "authkey": 0.9, "connectionstring": 0.7}
-SIFT["lexed"] = r"(?i)(pass_?-?word|passwd|pass_?-?phrase|pass_?-?code|pwd|secret|api_?-?key|access_?-?key|private_?-?key|signing_?-?key|encryption_?-?key|credential|token|bearer|auth_?-?key|connection_?-?string)"
+#: Words of a name are joined over whatever stands between them on its line, so a mark may stand between any two letters.
+SIFT["lexed"] = "(?i)(" + "|".join(r"[^A-Za-z0-9\n]*".join(n) for n in NAMES) + ")"
 PLACEHOLDER = re.compile(r"(?i)^(none|null|nil|true|false|undefined|changeme|example|placeholder|redacted|your[-_ ]?.*|x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|todo|test|password|secret|token|str|string|int|bytes|optional)$")
 LEX = re.compile(
     r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<tag><(?P<tname>[A-Za-z_][\w.:-]*)[^<>\n]*>(?P<tval>[^<>\n]*)</)|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:])|(?P<num>\d[\w.+/-]*)|(?P<nl>\n)|(?P<open>[\[({,;+])|(?P<close>[\])}])|(?P<word>[^\s"'`\[\](){},;]+)""",

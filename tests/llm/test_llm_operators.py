@@ -136,6 +136,14 @@ def test_lexer(text, literals):
     assert sorted(text[a:b] for a, b, _ in op4_secrets.lexed(text)) == sorted(literals)
 
 
+@pytest.mark.parametrize("line", ["spring.api.key = %s", "access.key: %s", '"Access Key": "%s"', "private.key = %s", "auth.key: %s", "connection.string = '%s'", '"pass word": "%s"', "to_ken = '%s'", "<signing.key>%s</signing.key>"])
+def test_the_sift_lets_every_name_through(spark, line):
+    text = line % "Zx81kkQ0aPm2"
+    at = text.index("Zx81")
+    [r] = op4_secrets.secret_spans(docs(spark, [text])).collect()
+    assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "lexed"] == [(at, at + 12)]
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(300, 16))
