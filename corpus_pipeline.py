@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines; n_chars follows the text."""
-    out = without_boilerplate(docs)
+    """Documents without boilerplate lines, but for those with no other lines; n_chars follows the text."""
+    out = without_boilerplate(docs, strict=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

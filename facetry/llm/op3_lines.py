@@ -4,7 +4,7 @@ A line's spread is the number of distinct sites it stands on. HyperLogLog sketch
 hash, merge in the aggregation; lines whose estimate lies near the threshold get an exact distinct count.
 Lines spread over at least ``min_sites`` sites are boilerplate and go from every document, except from one of
 which they make up most: such a document repeats other documents whole, and which copy stays is for document
-deduplication to decide.
+deduplication to decide. With ``strict``, as in the pipeline, only a document without a line of its own is spared.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def real_line(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"[\t-\r]", "")) != ""
+
+
 def line_key(line: Column) -> list[Column]:
     """128 bits by two seeds."""
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")]
@@ -49,9 +53,11 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.union(exact)
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", strict: bool = False) -> DataFrame:
     """``docs`` with the text cleaned, plus n_lines, n_removed and copied (boilerplate past ``most``; then nothing is removed).
 
+    With ``strict``, copied are only documents all of whose lines, white space aside, are boilerplate.
+
     A null text stays null and has no lines; an empty one is one empty line. Lines of white space only are
     never boilerplate. Rows with null ids, with one id and several texts, or repeated, are each cleaned by
     their own text. A null site does not count towards a line's spread, but its documents are cleaned too.
@@ -59,7 +65,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, most: float
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed", "copied")])
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("sum"), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text")).where("text is not null")
-    lines = keyed.select("id", "sum", "site", F.posexplode(text_lines(F.col("text"))).alias("at", "line")).where(F.trim(F.regexp_replace("line", r"[\t-\r]", "")) != "")
+    lines = keyed.select("id", "sum", "site", F.posexplode(text_lines(F.col("text"))).alias("at", "line")).where(real_line(F.col("line")))
     lines = lines.select("id", "sum", "site", "at", F.length("line").alias("chars"), *line_key(F.col("line")))
     bad = cut(spread_lines(lines.select("h1", "h2", "site"), min_sites)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = lines.drop("site").withColumn("salt", F.pmod(F.xxhash64("id", "sum", "at"), F.lit(SALTS)).cast("int"))
@@ -68,7 +74,8 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, most: float
     known = docs.join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("_sum")) & F.col(text_col).isNotNull(), "left")
     gone = F.aggregate("bad", F.lit(0).cast("long"), lambda n, x: n + x["chars"])
     kept = F.length(F.regexp_replace(text_col, "\n", ""))
-    known = known.withColumn("copied", F.coalesce(F.col("bad").isNotNull() & (gone > most * kept), F.lit(False)))
+    spared = F.size(F.filter(text_lines(F.col(text_col)), real_line)) <= F.size("bad") if strict else gone > most * kept
+    known = known.withColumn("copied", F.coalesce(F.col("bad").isNotNull() & spared, F.lit(False)))
     places = F.array_sort(F.transform("bad", lambda x: x["at"]))
     clean = F.array_join(F.filter(text_lines(F.col(text_col)), lambda _, i: ~F.array_contains(places, i)), "\n")
     acts = F.col("bad").isNotNull() & ~F.col("copied")

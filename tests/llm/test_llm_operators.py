@@ -104,6 +104,16 @@ def test_lines_go_by_their_exact_spread(spark):
     assert got[18]["n_removed"] == 1 and got[19]["copied"] and got[19]["text"] == "boiler plate" and got[20]["text"] is None and got[21]["text"] == ""
 
 
+def test_the_pipeline_cleans_short_pages_with_long_boilerplate(spark):
+    import corpus_pipeline
+
+    plate = "a long license line that makes up most of a short page"
+    texts = [*(f"own {i}\n{plate}" for i in range(6)), plate, f"{plate}\n \n{plate}"]
+    d = docs(spark, texts, None, [f"s{i}" for i in range(8)]).select("doc_id", "text", "lang", "source", "n_chars")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.lines(spark, d, "").collect()}
+    assert got == {i: (f"own {i}", 5) for i in range(6)} | {i: (texts[i], len(texts[i])) for i in (6, 7)}
+
+
 def test_lines_of_odd_tables(odd, empty):
     assert op3_lines.without_boilerplate(odd).count() == odd.count() and op3_lines.without_boilerplate(empty).count() == 0
 
