@@ -3,8 +3,10 @@
 Each pass hashes every vector by the signs of random projections, joined into one key, and orders the vectors
 by label and key. Vectors that point the same way share long prefixes, so near pairs stand close in some pass:
 each vector is compared with the ``window`` after it, and further as long as it keeps finding partners. Pairs
-are verified in double precision and united over the passes. The number of passes follows from the size of
-the largest label, so that a pair at the threshold is found with the wanted probability.
+are verified in double precision and united over the passes. Keys are made of vectors less the centre of their
+label, so that a common direction does not crowd the prefixes. The number of passes follows from the sizes of
+labels and their vectors' distances from the centre, so that a pair at the threshold is found with the wanted
+probability.
 
 A partition's edge ends the growth of its windows, so groups of more than ``window`` linked vectors are compared
 again as a whole, in tiles and exactly; each tile gives counts of partners, not pairs.
@@ -60,6 +62,75 @@ def sign_keys(v: np.ndarray, passes: int) -> np.ndarray:
     return out
 
 
+def codes(labels: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct labels, and the place of each row's label in them."""
+    d = labels.dictionary_encode()
+    return d.dictionary, d.indices.to_numpy()
+
+
+def centred(vectors: pa.Array, centres: pa.Array) -> np.ndarray:
+    """Unit vectors less their centres."""
+    u = unit(vectors)
+    return u - centres.flatten().to_numpy(zero_copy_only=False).reshape(u.shape)
+
+
+def centres_of(classes: DataFrame) -> DataFrame:
+    """(label, dim, n, centre): the mean of each label's unit vectors of one length."""
+    label = classes.schema["label"].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column("dim").to_numpy()
+            for d in np.unique(dims):
+                part = b.filter(pa.array(dims == d))
+                names, at = codes(part.column("label"))
+                out = np.zeros((len(names), d))
+                np.add.at(out, at, unit(part.column("vec")))
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), d, np.int32)), pa.array(np.bincount(at, minlength=len(names))), pa.array(list(out), pa.list_(pa.float64()))], ["label", "dim", "n", "sum"])
+
+    rows = classes.select("label", F.size("vec").alias("dim"), "vec").mapInArrow(sums, f"label {label}, dim int, n bigint, sum array<double>")
+    rows = rows.select("label", "dim", "n", F.posexplode("sum").alias("i", "x")).groupBy("label", "dim", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    rows = rows.groupBy("label", "dim").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", (F.col("x") / F.col("n")).alias("x")))).alias("c"))
+    return rows.select("label", "dim", "n", F.transform("c", lambda c: c["x"]).alias("centre"))
+
+
+def passes_of(placed: DataFrame, threshold: float, window: int, recall: float) -> int:
+    """Passes that the label in most need of them takes, from rows (label, dim, n, centre, vec); 2 n / window at most.
+
+    A pair at the threshold that lies near the centre is seen from there under a wider angle. Vectors nearer to it
+    than the pair's own distance do not count: around them all are partners, and windows grow.
+    """
+    label = placed.schema["label"].dataType.simpleString()
+
+    def grid(n: int) -> np.ndarray:
+        least = passes_for(n, threshold, window, recall)
+        return np.unique(np.ceil(least * 2 ** np.arange(0, max(0.0, math.log2(max(2 * n / window / least, 1))) + 0.25, 0.125)))
+
+    def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column("dim").to_numpy()
+            for d in np.unique(dims):
+                part = b.filter(pa.array(dims == d))
+                names, at = codes(part.column("label"))
+                far = (centred(part.column("vec"), part.column("centre")) ** 2).sum(axis=1)
+                size = part.column("n").to_numpy()
+                for k in range(len(names)):
+                    own = far[(at == k) & (far > 1 - threshold)]
+                    n = int(size[at == k][0])
+                    agree = 1 - np.arccos(1 - (1 - threshold) / own) / math.pi
+                    one = agree ** max(0.0, math.log2(max(2 * n / window, 1)))
+                    tries = grid(n)
+                    lost = [float(((1 - one) ** p).sum()) for p in tries]
+                    m = len(tries)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[k].as_py()] * m, names.type), pa.array([int(d)] * m, pa.int32()), pa.array(tries.astype(np.int64)), pa.array(lost, pa.float64()), pa.array([len(own)] * m, pa.int64())], ["label", "dim", "passes", "lost", "rows"])
+
+    sums = placed.select("label", "dim", "n", "centre", "vec").mapInArrow(missed, f"label {label}, dim int, passes bigint, lost double, rows bigint")
+    sums = sums.groupBy("label", "dim", "passes").agg(F.sum("lost").alias("lost"), F.sum("rows").alias("rows"))
+    enough = F.min(F.when(F.col("lost") <= (1 - recall) * F.col("rows"), F.col("passes")))
+    need = sums.groupBy("label", "dim").agg(F.coalesce(enough, F.max("passes")).alias("need")).agg(F.max("need")).first()
+    return int(need[0] or 2)
+
+
 def window_pairs(v: np.ndarray, group: np.ndarray, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one group that reach the threshold, each row against those after it in order.
 
@@ -85,9 +156,9 @@ def window_pairs(v: np.ndarray, group: np.ndarray, threshold: float, window: int
 
 def linked(classes: DataFrame, threshold: float, window: int, recall: float) -> DataFrame:
     """(a, b) distinct class representatives whose cosine reaches the threshold, from rows (rep, label, vec)."""
-    largest = classes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
-    n, total = largest[0] or 0, largest[1] or 0
-    passes = passes_for(n, threshold, window, recall)
+    total = classes.count()
+    placed = lookup(classes.select("rep", "label", F.size("vec").alias("dim"), "vec"), cut(centres_of(classes)), ["label", "dim"])
+    passes = passes_of(placed, threshold, window, recall)
     rep = classes.schema["rep"].dataType.simpleString()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +167,13 @@ def linked(classes: DataFrame, threshold: float, window: int, recall: float) ->
             for d in np.unique(dims):
                 part = b.filter(pa.array(dims == d))
                 if part.num_rows:
-                    k = sign_keys(unit(part.column("vec")), passes)
+                    k = sign_keys(centred(part.column("vec"), part.column("centre")), passes)
                     for p in range(passes):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), p, np.int32)), part.column("label"), part.column("dim"), pa.array(k[:, p]), part.column("rep"), part.column("vec")], ["pass", "label", "dim", "key", "rep", "vec"])
 
     label, vec = (classes.schema[c].dataType.simpleString() for c in ("label", "vec"))
     # Keys are made anew for the sample that range partitioning takes: cheaper than the vectors of all passes on disk.
-    keyed = classes.select("rep", "label", F.size("vec").alias("dim"), "vec").mapInArrow(keys, f"pass int, label {label}, dim int, key bigint, rep {rep}, vec {vec}")
+    keyed = placed.select("rep", "label", "dim", "vec", "centre").mapInArrow(keys, f"pass int, label {label}, dim int, key bigint, rep {rep}, vec {vec}")
     parts = max(1, min(100_000, total * passes // (16 * window)))
     order = ["pass", "label", "dim", "key", "rep"]
     dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)

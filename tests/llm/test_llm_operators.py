@@ -182,6 +182,18 @@ def test_a_large_group_of_near_copies_links_wholly(spark):
     assert [got[i]["n_links"] for i in range(3000)] == n.tolist() and {r["component"] for r in got.values()} == {0}
 
 
+def test_pairs_are_found_in_a_common_direction(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    e = unit(rng.normal(size=(4000, 64)))
+    v = unit(np.sqrt(0.8) * unit(rng.normal(size=(1, 64))) + np.sqrt(0.2) * e)
+    v[2000:] = unit(v[:2000] + 0.375 * unit(rng.normal(size=(2000, 64))))
+    v = v.astype(np.float32)
+    got = {r["vec_id"]: r["n_links"] for r in op5_embeddings.near_vectors(spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()}
+    n = (unit(v.astype(float)) @ unit(v.astype(float)).T >= 0.93).sum() - 4000
+    assert n > 1000 and 0.997 * n <= sum(got.values()) <= n
+
+
 def test_vectors_of_an_empty_table(spark):
     assert op5_embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
