@@ -103,22 +103,21 @@ def keys(n: int, alias: str = "") -> str:
 
 
 def concentration_sql(base: str, names: Sequence[str], low: int, high: int, where: str = "true", columns: str | None = None) -> str:
-    gone = []
-    for i in range(1, high + 1):
-        for k in range(max(2, i), high + 1):
-            left = [j for j in range(1, k + 1) if j != i]
-            on = " and ".join([f"p.var{a}_name is not distinct from c.var{b}_name and p.var{a}_value is not distinct from c.var{b}_value" for a, b in zip(range(1, k), left, strict=True)] + [f"p.var{a}_name is null" for a in range(k, high + 1)])
-            mine = " and ".join([f"c.var{k}_name is not null"] + ([f"c.var{k + 1}_name is null"] if k < high else []))
-            gone.append(f"select {keys(high, 'c.')}, c.var{i}_name as gone, {i} as pos, p.target_rate as rate from seg c join seg p on {on} where {mine}")
-    same = " and ".join(f"r.{k.strip()} is not distinct from q.{k.strip()}" for k in keys(high).split(","))
-    parents = f", u as ({' union all '.join(gone)}), q as (select {keys(high)}, arg_min(gone, (rate, -pos)) as lo, min(rate) as lo_rate, arg_max(gone, (rate, pos)) as hi, max(rate) as hi_rate from u group by all)" if high > 1 else ""
-    extra = "'- ' || q.lo as parent_min, round(q.lo_rate, 6) as parent_min_tr, '- ' || q.hi as parent_max, round(q.hi_rate, 6) as parent_max_tr" if high > 1 else "null::varchar as parent_min, null::double as parent_min_tr, null::varchar as parent_max, null::double as parent_max_tr"
+    """All combinations as grouping sets of one scan; parents meet their children by equality of whole segments."""
+    names = sorted(names)
+    sets = ", ".join(f"({', '.join(c)})" for k in range(max(1, low - 1), high + 1) for c in combinations(names, k))
+    seg = ", ".join(f"case when grouping({c}) = 0 then {{'name': '{c}', 'value': {c}::varchar}} end" for c in names)
+    cells = ", ".join(f"seg[{i}].name as var{i}_name, seg[{i}].value as var{i}_value" for i in range(1, high + 1))
     stats = "count, round(population, 6) as population, target, round(target_rate, 6) as target_rate, round(target_population, 6) as target_population, round(group_iv, 6) as group_iv"
-    return f"""{base}, g as ({seg_sql(names, max(1, low - 1), high, 'count(y)::bigint as count, coalesce(sum(y), 0)::bigint as target')}),
-z as (select count(y)::double as nn, sum(y)::double as tt from b),
-seg as (select g.*, 100 * count / nn as population, 100 * target / nullif(count, 0)::double as target_rate, 100 * target / tt as target_population,
-  100 * abs(target / tt - (count - target) / nullif(nn - tt, 0)) * ln((case when target = 0 then 1 / tt else target / tt end) / (case when count = target then 1 / nullif(nn - tt, 0) else (count - target) / nullif(nn - tt, 0) end)) as group_iv from g, z){parents}
-select {columns or f'{keys(high, "r.")}, {stats}, {extra}'} from seg r {f'left join q on {same}' if high > 1 else ''} where r.var{low}_name is not null and ({where})"""
+    extra = "'- ' || lo as parent_min, round(lo_rate, 6) as parent_min_tr, '- ' || hi as parent_max, round(hi_rate, 6) as parent_max_tr"
+    return f"""{base}, g as materialized (select list_filter([{seg}], lambda x: x is not null) as seg, count(y)::bigint as count, coalesce(sum(y), 0)::bigint as target from b group by grouping sets ({sets})),
+z as materialized (select count(y)::double as nn, sum(y)::double as tt from b),
+s as materialized (select seg, count, target, 100 * count / nn as population, 100 * target / nullif(count, 0)::double as target_rate, 100 * target / tt as target_population,
+  100 * abs(target / tt - (count - target) / nullif(nn - tt, 0)) * ln((case when target = 0 then 1 / tt else target / tt end) / (case when count = target then 1 / nullif(nn - tt, 0) else (count - target) / nullif(nn - tt, 0) end)) as group_iv from g, z),
+u as materialized (select seg, i, seg[i].name as gone, list_concat(seg[:i - 1], seg[i + 1:]) as parent from (select seg, unnest(range(1, len(seg) + 1)) as i from s where len(seg) > 1)),
+q as materialized (select u.seg as child, arg_min(gone, (p.target_rate, -i)) as lo, min(p.target_rate) as lo_rate, arg_max(gone, (p.target_rate, i)) as hi, max(p.target_rate) as hi_rate from u join s p on p.seg = u.parent group by u.seg),
+r as materialized (select {cells}, s.*, lo, lo_rate, hi, hi_rate from s left join q on s.seg = q.child)
+select {columns or f'{keys(high, "r.")}, {stats}, {extra}'} from r where r.var{low}_name is not null and ({where})"""
 
 
 def stability_sql(base: str, names: Sequence[str], low: int, high: int, split: str, main: str = "true", target: bool = True) -> str:
