@@ -11,8 +11,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 #: The separators of a word: space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,10 +30,12 @@ def workers_find_us(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder in spark.checkpoint.dir; a temporary one only in local mode, where driver and executors are one process."""
     workers_find_us(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="facetry-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -103,7 +107,8 @@ def row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def lower_ascii(texts: pa.Array) -> pa.Array:
-    return pc.ascii_lower(pc.fill_null(texts, ""))
+    """A-Z lower-cased, null as empty. The kernel misreads a slice that was cast to wide offsets, so it gets a copy."""
+    return pc.ascii_lower(pa.concat_arrays([pc.fill_null(texts, "")]))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -165,6 +170,47 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(r, on, "left").drop(*[f"_r_{k}" for k in keys])
 
 
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two hashes of a whole row, k1 and k2; only rows that are alike in every column share them."""
+    plain = (StringType, BinaryType, BooleanType, NumericType, DateType, TimestampType, TimestampNTZType)
+    cols = [F.col(f"`{f.name}`") if isinstance(f.dataType, plain) else F.to_json(F.struct(F.col(f"`{f.name}`")), {"ignoreNullFields": "false"}) for f in df.schema]
+    nulls = [c.isNull() for c in cols]  # hashes pass over nulls
+    return [F.xxhash64(*nulls, *cols).alias("k1"), F.xxhash64(F.lit("row"), *nulls, *cols).alias("k2")]
+
+
+def sums_before(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` plus the sum of each of ``sums`` over all rows before it; ``order`` tells all rows apart.
+
+    Rows are dealt into ranges, and each range is a window of its own; the sums of whole ranges, one row a
+    partition, are all that meets in one task.
+    """
+    dealt = cut(rows.withColumns({f"_of_{k}": x for k, x in sums.items()}).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("_part").agg(*[F.sum(f"_of_{k}").alias(f"_all_{k}") for k in sums])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_all_{k}").over(earlier), F.lit(0)).alias(f"_ahead_{k}") for k in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumns({k: F.coalesce(F.sum(f"_of_{k}").over(inside), F.lit(0)) for k in sums}).join(F.broadcast(parts), "_part")
+    return out.withColumns({k: F.col(k) + F.col(f"_ahead_{k}") for k in sums}).select(*rows.columns, *sums)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of int64 of one length, compressed by byte planes; the first goes as differences."""
+    first = np.diff(columns[0], prepend=np.zeros(1, columns[0].dtype))
+    return len(first).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(b"".join(_planes(c) for c in (first, *columns[1:])))
+
+
+def _planes(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=max(1, n * 8 * columns)), np.uint8)
+    out = [np.ascontiguousarray(raw[i * n * 8 : (i + 1) * n * 8].reshape(8, n).T).view("<i8").ravel() for i in range(columns)]
+    out[0] = np.cumsum(out[0])
+    return out
+
+
 def open_fs(uri: str):
     """A pyarrow file system and the path in it, for a folder that driver and executors share."""
     from pyarrow import fs
