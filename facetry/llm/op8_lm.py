@@ -1,8 +1,8 @@
 """N-gram language model in an Elias-Fano trie, and scoring of whole texts.
 
 Level 1 is the vocabulary: sorted word hashes in an Elias-Fano sequence, with exact counts; a word's place is its
-id. Level n holds the n-grams that occur at least ``MIN_COUNT`` times, as children of their contexts, the nodes of
-level n - 1: an Elias-Fano sequence of contexts, Elias-Fano pointers to each context's run of children, and in
+id. Level n holds the n-grams that occur at least ``min_count`` times (by default all), as children of their contexts,
+the nodes of level n - 1: an Elias-Fano sequence of contexts, Elias-Fano pointers to each context's run of children, and in
 each run the ids of the last words in order. A query finds its context by successor search and then the word
 by successor search inside the context's run. Nodes keep quantised smoothed probabilities (interpolated
 absolute discounting, add-one at the bottom) and, as contexts, the quantised weight of the shorter context.
@@ -27,13 +27,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import SEED, blocks, crc_mod, cut, lower_ascii, mix64, open_fs, read, row_sums, shared_dir, words_of, workers_find_us
+from facetry.llm.common import SEED, blocks, crc_mod, cut, lower_ascii, mix64, open_fs, pack, read, row_sums, shared_dir, unpack, words_of, workers_find_us
 
-ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
+#: Longest n-gram; occurrences that an n-gram of two words or more needs (1: nothing is pruned); what is taken off each count.
+ORDER, MIN_COUNT, DISCOUNT = 3, 1, 0.75
 #: Bytes of text a segment stands for, and segments at least.
 SEGMENT, LEAST = 64 << 20, 48
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end", SEED))
@@ -149,6 +149,27 @@ def successor(get, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarr
     return lo
 
 
+class Counts:
+    """Counts in a byte each, with a list of the few that are 255 or more."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
+        self.small, self.at, self.large = arrays["count.small"], arrays["count.at"], arrays["count.large"]
+
+    @staticmethod
+    def build(count: np.ndarray) -> dict[str, np.ndarray]:
+        at = np.flatnonzero(count >= 255)
+        return {"count.small": np.minimum(count, 255).astype(np.uint8), "count.at": at, "count.large": count[at].astype(np.int64)}
+
+    def __len__(self) -> int:
+        return len(self.small)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        out = self.small[i].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        out[big] = self.large[np.searchsorted(self.at, i[big])]
+        return out
+
+
 def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
     """One file, renamed into place when whole, so that a repeated task does no harm."""
     fs, path = open_fs(uri)
@@ -261,7 +282,7 @@ def _segment(uri: str, n: int) -> dict:
     if n == 1:
         return {"word": EliasFano(a, "word"), "count": a["count"]}
     if n > 1:
-        return {"context": EliasFano(a, "context"), "pointer": EliasFano(a, "pointer"), "last": a["last"], "p": a["p"], "count": a["count"]}
+        return {"context": EliasFano(a, "context"), "pointer": EliasFano(a, "pointer"), "last": a["last"], "p": a["p"], "count": Counts(a) if "count.small" in a else None}
     return a
 
 
@@ -277,24 +298,6 @@ def by_segment(seg: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], np.cumsum(np.bincount(seg, minlength=segments))])
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of int64 for one segment; the first one ascends and goes as differences."""
-    first = np.diff(columns[0], prepend=np.zeros(1, columns[0].dtype))
-    return len(first).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(b"".join(_planes(c) for c in (first, *columns[1:])))
-
-
-def _planes(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=max(1, n * 8 * columns)), np.uint8)
-    out = [np.ascontiguousarray(raw[i * n * 8 : (i + 1) * n * 8].reshape(8, n).T).view("<i8").ravel() for i in range(columns)]
-    out[0] = np.cumsum(out[0])
-    return out
-
-
 def summed(blobs: list[bytes], columns: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct keys (all columns but the last) in order, and their summed last column."""
     parts = [unpack(b, columns) for b in blobs]
@@ -429,8 +432,10 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, text_
             whole = known[n - 2].gather(parent, "count")
             at = np.flatnonzero(np.diff(parent, prepend=-1))
             arrays = EliasFano.build(parent[at], "context") | EliasFano.build(np.append(at, len(parent)), "pointer")
-            save(f"{uri}/L{n}-{s}", arrays | {"last": word, "p": quantised((count - DISCOUNT) / np.maximum(whole, 1)), "count": count})
-            save(f"{uri}/W{n}-{s}", {"weight": np.zeros(len(count), np.uint16)})
+            ids = word.astype(np.uint32) if known[0].base[-1] < 1 << 32 else word
+            save(f"{uri}/L{n}-{s}", arrays | {"last": ids, "p": quantised((count - DISCOUNT) / np.maximum(whole, 1))} | (Counts.build(count) if n < order else {}))
+            if n < order:  # only contexts have a weight
+                save(f"{uri}/W{n}-{s}", {"weight": np.zeros(len(count), np.uint16)})
             out = [{"kind": "size", "seg": s, "n": len(count), "tokens": int(count.sum()), "blob": None}]
             if len(at):
                 given = np.add.reduceat(count * 4 - int(4 * DISCOUNT), at)  # in quarters, whole numbers
@@ -445,7 +450,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, text_
         total = total or sum(t for _, t in sizes.values())
         for s in set(range(segments)) - set(sizes):  # no n-gram fell there
             none = np.zeros(0, np.int64)
-            save(f"{uri}/L{n}-{s}", EliasFano.build(none, "word") | EliasFano.build(none, "context") | EliasFano.build(np.zeros(1, np.int64), "pointer") | {"last": none, "p": none.astype(np.uint16), "count": none})
+            save(f"{uri}/L{n}-{s}", EliasFano.build(none, "word") | EliasFano.build(none, "context") | EliasFano.build(np.zeros(1, np.int64), "pointer") | {"last": none, "p": none.astype(np.uint16), "count": none} | Counts.build(none))
             save(f"{uri}/W{n}-{s}", {"weight": none.astype(np.uint16)})
         levels.append(Level(uri, n, tuple(np.concatenate([[0], np.cumsum([sizes.get(s, (0, 0))[0] for s in range(segments)])]).tolist())))
         if n == 1:
@@ -455,7 +460,8 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, text_
         def weigh(t: pa.Table) -> pa.Table:
             s = t["seg"][0].as_py()
             (node,), given = summed(t["blob"].to_pylist(), 2)
-            count = load(f"{upper.uri}/L{upper.n}-{s}")["count"]
+            seg = load(f"{upper.uri}/L{upper.n}-{s}")
+            count = seg["count"] if upper.n == 1 else Counts(seg)
             weight = np.zeros(len(count), np.uint16)  # one, in steps
             i = node.view(np.int64) - upper.base[s]
             weight[i] = np.maximum(quantised(np.maximum(1 - given / 4 / count[i], 2.0**-31)), 1)
