@@ -2,14 +2,18 @@
 
 A pre-token is a run without ASCII white space. No token of these vocabularies crosses white space, the
 normalizer works within such runs, and special strings hold no white space, so a text's count is the sum over
-its pre-tokens. The join is local to an Arrow block: its dictionary holds each distinct pre-token once, the
-library counts that dictionary, and the counts are gathered by dictionary code and summed by row. So there is
-no shuffle, a very frequent word costs no more than a rare one, and a lost task only repeats its own split.
+its pre-tokens. One pass writes blocks of documents: the block's distinct pre-tokens, and for each document its
+pre-tokens, as places among them, with their frequencies. The distinct pre-tokens of all blocks are counted once
+by the library, joined to the blocks that hold them, and gathered and summed by document.
+
+What is shuffled for the join is a row a block and distinct pre-token, so a very frequent word has a row a block
+and not a row a document; the frequencies themselves move once, compressed.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import blocks, read, row_sums, words_of, workers_find_us
+from facetry.llm.common import blocks, pack, read, row_sums, table, unpack, words_of, workers_find_us
 
+#: Bytes of text of a block; a longer text is a block of its own.
+BLOCK = 16 << 20
 
 #: A word of these letters alone is one pre-token, and lower-casing it by letter is what the normalizer does.
 LETTERS = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
@@ -79,13 +85,14 @@ def piece_counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     return count
 
 
-def count_block(texts: pa.Array, count: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
-    """Tokens of each text: pre-token frequencies of the block joined to one count for each distinct pre-token."""
+def frequencies(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of a block; and by document how many of them it has, which, and how often each."""
     starts, words = words_of(texts)
-    if not len(words):
-        return np.zeros(len(texts), np.int64)
     coded = words.dictionary_encode()
-    return row_sums(count(coded.dictionary)[coded.indices.to_numpy()], starts)
+    most = max(1, len(coded.dictionary))
+    row = np.repeat(np.arange(len(texts)), np.diff(starts))
+    pair, times = np.unique(row * most + coded.indices.to_numpy(), return_counts=True) if len(words) else (row, row)
+    return coded.dictionary, np.bincount(pair // most, minlength=len(texts)), pair % most, times
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,15 +103,38 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     """
     workers_find_us(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = piece_counter(tokenizer)
-        for b in blocks(batches, "text", 32 << 20):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        for b in blocks(batches, "text", BLOCK):
+            words, n, at, times = frequencies(b.column("text"))
             n_bytes = pc.binary_length(b.column("text")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), n_bytes, pa.array(count_block(b.column("text"), count))], ["id", "n_bytes", "n_tokens"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint")
+            cells = [pa.array([uuid.uuid4().hex]), one(b.column("id")), one(n_bytes), one(pa.array(n, pa.int32())), one(words.cast(pa.string())), pa.array([pack(at, times)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, ["block", "ids", "n_bytes", "n_words", "words", "pairs"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_library = piece_counter(tokenizer)
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(by_library(b.column("word")), pa.int32())], ["word", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, n_bytes, n_words, counts = (b.column(c)[i].values for c in ("ids", "n_bytes", "n_words", "counts"))
+                total = np.zeros(len(ids), np.int64)
+                if counts is not None:
+                    at, times = unpack(b.column("pairs")[i].as_py(), 2)
+                    total = row_sums(counts.to_numpy()[at] * times, np.concatenate([[0], np.cumsum(n_words.to_numpy())]))
+                yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(total)], ["id", "n_bytes", "n_tokens"])
+
+    made = table(rows.mapInArrow(split, f"block string, ids array<{kind}>, n_bytes array<bigint>, n_words array<int>, words array<string>, pairs binary"))
+    words = made.select("block", F.posexplode("words").alias("at", "word"))
+    counted = words.select("word").distinct().mapInArrow(count, "word string, n int")
+    counts = words.join(counted, "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("counts"))
+    placed = made.drop("words").join(counts.select("block", F.transform("counts", lambda x: x["n"].cast("long")).alias("counts")), "block", "left")
+    out = placed.mapInArrow(add, f"id {kind}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
