@@ -15,17 +15,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetry.llm.common import WORD, read
+from facetry.llm.common import WORD, cut, read, row_keys, sums_before
 
-#: Sources that are weighed on the driver at most; one row of name and size each.
-MAX_SOURCES = 1_000_000
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Knots (t, g) of the schedules, given to the sources in turn: steady, rising and falling.
 SCHEDULES: tuple[tuple[tuple[float, float], ...], ...] = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)))
 
 
 def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] = WEIGHTS, cap: float = 3.0) -> dict[str | None, tuple[float, int]]:
-    """Source -> (target, place in the order). Water-filling, to the end: each round caps a source or ends."""
+    """Source -> (target, place in the order), in plain Python. Water-filling, to the end: each round caps a source or ends."""
     order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
     weigh = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
     size, left, open_ = dict(order), float(sum(n for _, n in order)), {s for s, _ in order}
@@ -40,6 +38,22 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] =
     return {s: (out[s], i) for i, (s, _) in enumerate(order)}
 
 
+def with_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = 3.0) -> DataFrame:
+    """Rows (nul, src, source_size) plus place and target, as ``targets`` has them, for any number of sources.
+
+    With sources in order of cap by weight, the first that the level does not cap tells the level of all.
+    """
+    placed = sums_before(sources, ["nul", "src"], {"place": F.lit(1).cast("long")})
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("place") % len(weights))
+    placed = placed.withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("weight"))
+    filled = cut(sums_before(placed, ["ratio", "place"], {"used": F.col("most"), "closed": F.col("weight")}))
+    total = filled.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("open"))
+    level = (F.col("total") - F.col("used")) / (F.col("open") - F.col("closed"))
+    level = filled.crossJoin(F.broadcast(total)).select("ratio", level.alias("level")).where("level <= ratio").agg(F.min_by("level", "ratio").alias("level"))
+    share = F.col("level") * F.col("weight")
+    return filled.crossJoin(F.broadcast(level)).select("nul", "src", "source_size", "place", F.when(share < F.col("most"), share).otherwise(F.col("most")).alias("target"))
+
+
 def position(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
     """The t in [0, 1] at which the integral of the piecewise-linear schedule reaches ``share`` of its whole."""
     area = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False)]
@@ -56,35 +70,33 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3, sch
     """One row per row of ``docs``: id, source, size, source_size, target, times, taken, position (of the first occurrence taken, else null).
 
     size counts the words of the text (null or empty: 0). A null source is a source of its own, last in order.
-    A source without words has target 0. Rows of one id, and repeated rows, each count; rows that tie in every
-    key are alike, so which of them comes first does not show. An empty table gives an empty result. Documents
-    of a source are dealt by the md5 of their id into 4096 runs a source, which are summed before any window,
-    so no window holds a whole source; only source names and sizes reach the driver, MAX_SOURCES at most.
+    A source without words has target 0. Rows of one id, and repeated rows, each count; rows without an id are
+    ordered by their text. Rows that tie in every key are alike, so which of them comes first does not show. An
+    empty table gives an empty result. Documents of a source are dealt by the md5 of their id into 4096 runs a
+    source, which are summed before any window, so no window holds a whole source. Nothing reaches the driver.
     """
-    at = _planned(docs, weights, cap, schedules, id_col, text_col, source_col, carry=False)
-    return at.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "position")
-
-
-def _planned(docs: DataFrame, weights: Sequence[float], cap: int, schedules: Sequence[Sequence[tuple[float, float]]], id_col: str, text_col: str, source_col: str, carry: bool) -> DataFrame:
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), order.alias("key"), *([F.struct(*docs.columns).alias("row")] if carry else []))
-    rows = rows.withColumn("run", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
-    runs = rows.groupBy("source", "run").agg(F.sum("size").alias("words"))
-    found = [(r["source"], r["words"]) for r in runs.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()]
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    share = targets(found, weights, cap)
-    per = docs.sparkSession.createDataFrame([(s, n, float(share[s][0]), share[s][1] % len(schedules)) for s, n in found], "s string, source_size long, target double, schedule int")
-    before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("source", "run", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead")).join(per, F.col("source").eqNullSafe(F.col("s")), "left")
-    runs = runs.select(F.col("source").alias("rs"), F.col("run").alias("rr"), "ahead", "source_size", "target", "schedule")
-    inside = Window.partitionBy("source", "run").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(runs, F.col("source").eqNullSafe(F.col("rs")) & (F.col("run") == F.col("rr")), "left")
+    at = _planned(docs, weights, cap, schedules, id_col, text_col, source_col)
+    source = F.when(~F.col("nul"), F.col("src")).alias(source_col)
+    return at.select(F.col("id").alias(id_col), source, "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "position")
+
+
+def _planned(docs: DataFrame, weights: Sequence[float], cap: int, schedules: Sequence[Sequence[tuple[float, float]]], id_col: str, text_col: str, source_col: str, keep: Sequence[Column] = ()) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), text)))
+    source = F.col(source_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), source.isNull().alias("nul"), F.coalesce(source, F.lit("")).alias("src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), order.alias("key"), F.xxhash64(text).alias("tie"), *keep)
+    rows = cut(rows.withColumn("run", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")))  # texts are read once
+    runs = cut(rows.groupBy("nul", "src", "run").agg(F.sum("size").alias("words")))
+    per = with_targets(runs.groupBy("nul", "src").agg(F.sum("words").alias("source_size")), weights, cap)
+    before = Window.partitionBy("nul", "src").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("nul", "src", "run", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead")).join(per, ["nul", "src"])
+    inside = Window.partitionBy("nul", "src", "run").orderBy("key", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    at = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(runs, ["nul", "src", "run"])
     start = F.col("ahead") + F.col("inside")
     # Round r of a document starts at r * source_size + start.
     taken = lambda r: F.when((F.col("size") > 0) & (2 * (start + r * F.col("source_size")) + F.col("size") <= 2 * F.col("target")), 1).otherwise(0)
     times = sum((taken(r) for r in range(1, cap)), taken(0))
-    at = at.withColumn("start", start).withColumn("times", times.cast("int"))
+    at = at.withColumn("start", start).withColumn("times", times.cast("int")).withColumn("schedule", F.col("place") % len(schedules))
     where = occurrence_position(F.col("start"), schedules)
     return at.withColumn("position", F.when(F.col("times") > 0, where))
 
@@ -101,12 +113,17 @@ def occurrence_position(start: Column, schedules: Sequence[Sequence[tuple[float,
 def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = 3, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, range-sorted by training position.
 
-    Its columns are those of ``docs``; a document without words is never taken. Null ids are allowed.
+    Its columns are those of ``docs``; a document without words is never taken. Null ids are allowed. Only keys go
+    through the plan; rows come to their positions in one join, where repeated rows, which are alike, stand once.
     """
-    plan = _planned(docs, weights, cap, schedules, id_col, text_col, source_col, carry=True).where("times > 0")
+    names = docs.columns
+    keys = row_keys(docs)
+    plan = _planned(docs, weights, cap, schedules, id_col, text_col, source_col, keys).where("times > 0")
     plan = plan.withColumn("round", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     at = occurrence_position(F.col("start") + F.col("round") * F.col("source_size"), schedules)
-    return plan.select(at.alias("at"), "id", "round", "row").orderBy("at", "id", "round").select("row.*")
+    plan = cut(plan.select("k1", "k2", at.alias("at"), "round"))
+    rows = plan.join(docs.select(F.struct(*names).alias("row"), *keys).dropDuplicates(["k1", "k2"]), ["k1", "k2"])
+    return rows.orderBy("at", F.col("row").getField(id_col), "round", "k1").select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +135,7 @@ QUERIES = {"op10_mixing": op10_mixing}
 #: Exact up to the last bits of doubles; targets of sources in order of cap by weight, as the rounds of water-filling end.
 SQL = {
     "op10_mixing": r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '')) as k from documents),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, 'null ' || coalesce(text, ''))) as k from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 o as (select *, row_number() over (order by source nulls last) - 1 as i from s),
 w as (select *, (1 + i % 3)::double as weight, 3.0::double * source_size as cap from o),
