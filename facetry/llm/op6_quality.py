@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from facetry.llm.common import blocks, crc_mod, read, words_of, workers_find_us
 
-#: Labelled documents that the field is fitted on at most, taken by a hash of the id; and their lines in one chain.
-SAMPLE, CHAIN = 4000, 48
-#: Lines of a training document at most, evenly spread chains of them; scoring takes every line.
-TRAIN_LINES = 480
+#: Labelled documents that the field is fitted on at most, whole, taken by a hash of the id.
+SAMPLE = 4000
+#: Lines over which the likelihood is summed at once in training: a longer document counts as several chains. Features
+#: of neighbours cross their ends, and scoring runs over whole documents.
+CHAIN = 48
 
 _CLASS = np.zeros(256, np.int64)
 for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\v\f", b".,;:?'\"()-", b"!", b"#$%&*", b"|<>{}[]/\\=_~^`@+"), 1):
@@ -191,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", BLOCK):
             starts, x, length = line_table(b.column("text"))
-            parts = [np.column_stack([x[s:e], length[s:e]])[_spread(e - s)] for s, e in zip(starts, starts[1:], strict=False)]
+            parts = [np.column_stack([x[s:e], length[s:e]]) for s, e in zip(starts, starts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("y"), pa.array([p.astype(np.float32).ravel() for p in parts], pa.list_(pa.float32()))], ["id", "y", "x"])
 
     got = rows.mapInArrow(run, f"id {rows.schema['_id'].dataType.simpleString()}, y int, x array<float>").toArrow()
@@ -204,14 +205,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(np.concatenate([[0], np.cumsum(n)]).astype(np.int64), flat[:, :-1], flat[:, -1], y)
 
 
-def _spread(n: int) -> np.ndarray:
-    """Lines that training takes of a document of n: all, or evenly spread chains of TRAIN_LINES."""
-    if n <= TRAIN_LINES:
-        return np.arange(n)
-    k = TRAIN_LINES // CHAIN
-    return np.unique((np.linspace(0, n - CHAIN, k).astype(int)[:, None] + np.arange(CHAIN)).ravel())
-
-
 def scored(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row, by the whole text. Null texts score as empty ones; a row for a row."""
     workers_find_us(docs.sparkSession)
