@@ -6,10 +6,17 @@ as a whole, and the comparison stays exact. Inside a group, members are ordered
 into tiles; a tile pair whose population counts differ beyond the radius is skipped, any other is compared by
 numpy exclusive-or and bit counts. Groups larger than ``TILE`` are cut into tiles across tasks, a pair of
 tiles a task. Each comparison keeps a spanning forest of its links, so copies are never expanded into pairs.
+
+``similar_texts`` holds near copies to a Jaccard similarity of word shingles. At 0.8 fingerprints differ by some ten
+bits, which no bit band survives, so its tiles are cut inside the groups that share a band of minima of permuted
+shingle hashes. The comparison by bits, at a radius that such pairs keep, proposes pairs; every pair that counts as a
+link is verified on the two texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,10 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import SEED, blocks, components, cut, lookup, lower_ascii, read, union_find, words_of, workers_find_us
+from facetry.llm.common import SEED, blocks, components, cut, lookup, lower_ascii, mix64, read, table, union_find, words_of, workers_find_us
+from facetry.llm.op9_minhash import P, shingle_hashes, signatures
 
 #: Members of a tile, and of a group that one task compares whole.
 TILE = 2048
+#: Bands of permuted minima, and minima a band: of pairs at 0.8, 99.96 % share a band.
+BANDS, ROWS = 20, 5
 
 
 def simhashes(texts: pa.Array, words: int = 4) -> np.ndarray:
@@ -89,17 +99,6 @@ def compare_tiles(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tupl
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def forest(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (member, root) of the links inside one group, or across two tiles (side 0 and 1)."""
-    order = np.lexsort((fp, np.bitwise_count(fp)))
-    two = side.min() != side.max()
-    ia, ib = (order[side[order] == 0], order[side[order] == 1]) if two else (order, order)
-    p, q = compare_tiles(fp[ia], fp[ib], radius, not two)
-    root = union_find(len(fp), ia[p], ib[q])
-    moved = np.flatnonzero(root != np.arange(len(fp)))
-    return moved, root[moved]
-
-
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of whole groups from rows sorted by ``keys``; a group may span batches."""
     held: list[pa.RecordBatch] = []
@@ -120,36 +119,40 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def group_links(t: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
+def near_pairs(t: pa.Table, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one group within the radius, from rows (band, value, tiles, side, fp) of whole groups; two tiles pair across only."""
     keys = np.stack([t[k].to_numpy() for k in ("band", "value", "tiles")])
     fp, side = t["fp"].to_numpy().view(np.uint64), t["side"].to_numpy()
     new = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
     size = np.diff(np.append(new, len(fp)))
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
+    a: list[np.ndarray] = [np.zeros(0, np.int64)]
+    b: list[np.ndarray] = [np.zeros(0, np.int64)]
     # Small groups side by side: each row against the k-th after it in its group, for all groups at once.
     small = size <= 64
     rows = np.flatnonzero(np.repeat(small, size))
-    rank = np.arange(len(fp)) - np.repeat(new, size)
-    rest = np.repeat(size, size) - rank
+    rest = np.repeat(new + size, size) - np.arange(len(fp))
     two = np.repeat(np.add.reduceat(side, new) > 0, size)
     for k in range(1, int(size[small].max(initial=1))):
         rows = rows[rest[rows] > k]
         near = rows[(np.bitwise_count(fp[rows] ^ fp[rows + k]) <= radius) & (~two[rows] | (side[rows] != side[rows + k]))]
         a.append(near)
         b.append(near + k)
-    if a:
-        p, q = np.concatenate(a), np.concatenate(b)
-        live = np.unique(np.concatenate([p, q]))
-        root = live[union_find(len(live), np.searchsorted(live, p), np.searchsorted(live, q))]
-        a, b = [live[root != live]], [root[root != live]]
+    yield np.concatenate(a), np.concatenate(b)
     for s, n in zip(new[~small], size[~small], strict=True):
-        p, q = forest(fp[s : s + n], side[s : s + n], radius)
-        a.append(p + s)
-        b.append(q + s)
-    if a and sum(map(len, a)):
-        p, q = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[p].view(np.int64)), pa.array(fp[q].view(np.int64))], ["a", "b"])
+        order = s + np.lexsort((fp[s : s + n], np.bitwise_count(fp[s : s + n])))
+        ia, ib = (order[side[order] == 0], order[side[order] == 1]) if two[s] else (order, order)
+        p, q = compare_tiles(fp[ia], fp[ib], radius, not two[s])
+        yield ia[p], ib[q]
+
+
+def group_links(t: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
+    """A spanning forest (member, root) of the links of each group."""
+    fp = t["fp"].to_numpy()
+    for u, v in near_pairs(t, radius):
+        live = np.unique(np.concatenate([u, v]))
+        root = live[union_find(len(live), np.searchsorted(live, u), np.searchsorted(live, v))]
+        moved = live != root
+        yield pa.RecordBatch.from_arrays([pa.array(fp[live[moved]]), pa.array(fp[root[moved]])], ["a", "b"])
 
 
 def bands_of(n: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -169,6 +172,21 @@ def bands_of(n: int, radius: int) -> list[list[tuple[int, int]]]:
     return [list(c) for c in combinations(bits, 1 + extra)]
 
 
+def tiled(rows: DataFrame, tile: int, key: str) -> DataFrame:
+    """Rows (band, value, fp, ...) of groups of two or more, plus tiles and side, dealt and sorted by group and tiles.
+
+    A group past ``tile`` is cut into tiles by hash of ``key``, and a row goes to every pair of tiles that has its own.
+    """
+    names = [c for c in rows.columns if c not in ("band", "value")]
+    size = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(size, ["band", "value"]).withColumn("cuts", F.ceil(F.col("n") / tile).cast("long"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64(key), "cuts"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    rows = rows.select("band", "value", (F.least("mine", "other") * F.col("cuts") + F.greatest("mine", "other")).alias("tiles"), (F.col("mine") > F.col("other")).cast("int").alias("side"), *names)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "band", "value", "tiles").sortWithinPartitions("band", "value", "tiles")
+
+
 def linked(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     """(a, b) rows that connect distinct fingerprints ``fp`` exactly as all pairs within the radius do."""
     workers_find_us(distinct.sparkSession)
@@ -180,15 +198,7 @@ def linked(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
         for shift, width in ranges:
             v = F.shiftleft(v, width).bitwiseOR(part(shift, width))
         values.append(v)
-    rows = distinct.select("fp", F.posexplode(F.array(*values)).alias("band", "value"))
-    size = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    # A group past ``tile`` is cut into tiles by hash, and a row goes to every pair of tiles that has its own.
-    rows = rows.join(size, ["band", "value"]).withColumn("cuts", F.ceil(F.col("n") / tile).cast("long"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), "cuts"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    rows = rows.select("band", "value", (F.least("mine", "other") * F.col("cuts") + F.greatest("mine", "other")).alias("tiles"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "band", "value", "tiles").sortWithinPartitions("band", "value", "tiles")
+    rows = tiled(distinct.select("fp", F.posexplode(F.array(*values)).alias("band", "value")), tile, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["band", "value", "tiles"]):
@@ -204,12 +214,136 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
     and equal ids are kept, a row for a row. A null id is larger than any other for a component's smallest id.
     """
     rows = cut(fingerprints(docs, id_col, text_col, words))
-    per = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    groups = components(linked(per.select("fp"), radius)).withColumnRenamed("node", "fp")
-    roots = per.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    links = linked(cut(rows.select("fp").distinct()), radius)
+    return _classed(rows, "fp", links).select(F.col("id").alias(id_col), "fp", "component")
+
+
+def _classed(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """``rows`` (id, key, ...) plus component: the smallest id reachable through links (a, b) of keys."""
+    per = cut(rows.groupBy(key).agg(F.min("id").alias("least")))
+    groups = components(links).withColumnRenamed("node", key)
+    roots = per.join(groups, key, "left").select(key, "least", F.coalesce("component", key).alias("root"))
     least = cut(roots.groupBy("root").agg(F.min("least").alias("component_id")))
-    found = cut(lookup(roots.select("fp", "root"), least, ["root"]).select("fp", "component_id"))
-    return lookup(rows, found, ["fp"]).select(F.col("id").alias(id_col), "fp", F.col("component_id").alias("component"))
+    found = cut(lookup(roots.select(key, "root"), least, ["root"]).select(key, F.col("component_id").alias("component")))
+    return lookup(rows, found, [key])
+
+
+def radius_for(similarity: float) -> int:
+    """Bits by which fingerprints of shingle sets at this Jaccard similarity differ, and four deviations more."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(64 * differ + 4 * math.sqrt(64 * differ * (1 - differ)))
+
+
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row starts (n+1) and the distinct shingle hashes of each text in order, A-Z lower-cased."""
+    starts, h = shingle_hashes(lower_ascii(texts.cast(pa.large_string())), words)
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.lexsort((h, row))
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(starts) - 1))]), h[new]
+
+
+def set_bits(starts: np.ndarray, h: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """64-bit SimHash of each row's hashes."""
+    votes, row = np.zeros((len(starts) - 1, 64), np.int64), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    for i in range(0, len(h), step):
+        bits, r = np.unpackbits(h[i : i + step].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), row[i : i + step]
+        at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        votes[r[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > np.diff(starts)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def nearest_forest(t: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) keys of a spanning forest of least distances of each group's pairs within the radius."""
+    fp, key = t["fp"].to_numpy().view(np.uint64), t["key"].to_numpy()
+    for u, v in near_pairs(t, radius):
+        order = np.lexsort((np.maximum(key[u], key[v]), np.minimum(key[u], key[v]), np.bitwise_count(fp[u] ^ fp[v])))
+        u, v, root = u[order], v[order], np.arange(len(fp))
+        first = np.zeros(len(u), bool)
+        while len(live := np.flatnonzero(root[u] != root[v])):  # each component takes its least pair
+            best = np.full(len(fp), len(u))
+            np.minimum.at(best, root[u[live]], live)
+            np.minimum.at(best, root[v[live]], live)
+            first[best[best < len(u)]] = True
+            root = union_find(len(fp), u[first], v[first])
+        yield _keyed(key, u[first], v[first])
+
+
+def crossing(t: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) keys of all pairs of a group within the radius whose roots differ."""
+    key, root = t["key"].to_numpy(), t["root"].to_numpy()
+    for u, v in near_pairs(t, radius):
+        apart = root[u] != root[v]
+        yield _keyed(key, u[apart], v[apart])
+
+
+def _keyed(key: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(key[u], key[v])), pa.array(np.maximum(key[u], key[v]))], ["a", "b"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b) of class keys, from pairs of short keys, whose texts' shingle sets reach the similarity."""
+    one = texts.select(F.col("short").alias("a"), F.col("key").alias("ka"), F.col("text").alias("x"))
+    two = texts.select(F.col("short").alias("b"), F.col("key").alias("kb"), F.col("text").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in blocks([whole], "x", 1 << 20):
+                (sx, x), (sy, y) = (shingle_sets(b.column(c), words) for c in ("x", "y"))
+                both = np.array([len(np.intersect1d(x[i:j], y[k:m], assume_unique=True)) for i, j, k, m in zip(sx, sx[1:], sy, sy[1:], strict=False)], np.int64)
+                near = both >= similarity * (np.diff(sx) + np.diff(sy) - both)
+                yield b.select(["ka", "kb"]).rename_columns(["a", "b"]).filter(pa.array(near))
+
+    return pairs.join(one, "a").join(two, "b").select("ka", "kb", "x", "y").mapInArrow(run, "a string, b string")
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """(id, component) for every row: the smallest id reachable through texts whose shingle sets reach the similarity.
+
+    Texts of equal shingle sets fold into one class first. Verified first is each tile's spanning forest of least
+    distances, then every pair within the radius that still joins two components; so a group of copies costs a few
+    verifications a member, and no proposal is left out. Null and empty texts, and texts without words, are one
+    class. Rows are kept, a row for a row; a null id is larger than any other.
+    """
+    workers_find_us(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    mark = F.xxhash64("text").alias("mark")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = P ** np.arange(1, ROWS + 1, dtype=np.uint64)
+        for b in blocks(batches, "text", 2 << 20):
+            starts, h = shingle_sets(b.column("text"), words)
+            key = [hashlib.blake2b(h[i:j].tobytes(), digest_size=16).hexdigest() for i, j in zip(starts, starts[1:], strict=False)]
+            low = signatures(starts, h, perms=BANDS * ROWS).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            bands = mix64((low * powers).sum(axis=2)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(key), pa.array(set_bits(starts, h).view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))], ["id", "mark", "key", "fp", "bands"])
+
+    made = cut(rows.select("id", mark, "text").mapInArrow(sketch, f"id {kind}, mark bigint, key string, fp bigint, bands array<bigint>"))
+    classes = cut(made.groupBy("key").agg(F.min("mark").alias("mark"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("short", F.xxhash64("key")))
+    radius = radius_for(similarity)
+
+    def proposals(members: DataFrame, find: Callable[[pa.Table, int], Iterator[pa.RecordBatch]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in grouped(batches, ["band", "value", "tiles"]):
+                yield from find(t, radius)
+
+        placed = tiled(members.select("*", F.posexplode("bands").alias("band", "value")).drop("bands"), tile, "key")
+        return cut(placed.mapInArrow(run, "a bigint, b bigint").distinct())
+
+    members = classes.select(F.col("short").alias("key"), "fp", "bands")
+    pairs = proposals(members, nearest_forest)
+    named = pairs.select(F.col("a").alias("short")).union(pairs.select("b")).distinct()
+    wanted = cut(classes.join(named, "short").select("short", "key", "mark"))
+    texts = table(rows.select(mark, "text").join(wanted.select("mark").distinct(), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text")).join(wanted, "mark"))
+    links = cut(verified(pairs, texts, similarity, words))
+    roots = lookup(wanted.select("short", "key"), components(links).withColumnRenamed("node", "key"), ["key"])
+    roots = cut(roots.select(F.col("short").alias("key"), F.xxhash64(F.coalesce("component", "key")).alias("root")))
+    more = proposals(members.join(roots, "key"), crossing).join(pairs, ["a", "b"], "left_anti")
+    links = links.union(cut(verified(more, texts, similarity, words)))
+    return _classed(made.select("id", "key"), "key", links).select(F.col("id").alias(id_col), "component")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,15 +53,15 @@ def shingle_hashes(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.
     return at, mix64(out)
 
 
-def signatures(starts: np.ndarray, h: np.ndarray, run: int = 1 << 16) -> np.ndarray:
-    """(texts, PERMS) minima of the permuted hashes, as uint32; every text has a shingle at least."""
-    out = np.empty((len(starts) - 1, PERMS), np.uint32)
+def signatures(starts: np.ndarray, h: np.ndarray, run: int = 1 << 16, perms: int = PERMS) -> np.ndarray:
+    """(texts, perms) minima of the permuted hashes, as uint32; every text has a shingle at least."""
+    out = np.empty((len(starts) - 1, perms), np.uint32)
     i = 0
     while i < len(out):
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + run, side="right")) - 1)
         part, cuts = h[starts[i] : starts[j]], starts[i:j] - starts[i]
         with np.errstate(over="ignore"):
-            for k in range(PERMS):
+            for k in range(perms):
                 out[i:j, k] = np.minimum.reduceat(((part * A[k] + B[k]) >> np.uint64(32)).astype(np.uint32), cuts)
         i = j
     return out
