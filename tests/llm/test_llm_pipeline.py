@@ -12,7 +12,6 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
-import xxhash
 
 import corpus_pipeline
 from facetry.llm import op6_quality, queries
@@ -53,22 +52,21 @@ def without_lines(docs):
         if d["text"] is not None:
             lines = d["text"].split("\n")
             bad = [real(x) and len(sites[x]) >= 5 for x in lines]
-            if any(bad) and sum(len(x) for x, b in zip(lines, bad, strict=True) if b) <= 0.5 * sum(map(len, lines)):
+            if any(bad) and sum(bad) < sum(real(x) for x in lines):
                 text = "\n".join(x for x, b in zip(lines, bad, strict=True) if not b)
                 d = d | {"text": text, "n_chars": len(text)}
         out.append(d | {"n_chars": None if d["text"] is None else len(d["text"])})
     return out
 
 
-def fingerprint(text):
+def shingles(text):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
-    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
 
 def one_of_each_group(docs):
     docs = sorted(docs, key=lambda d: d["doc_id"])
-    fp = [fingerprint(d["text"]) for d in docs]
+    sets = [shingles(d["text"]) for d in docs]
     root = list(range(len(docs)))
 
     def top(i):
@@ -78,7 +76,8 @@ def one_of_each_group(docs):
 
     for i in range(len(docs)):
         for j in range(i + 1, len(docs)):
-            if (fp[i] ^ fp[j]).bit_count() <= 4:
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
     return [d for i, d in enumerate(docs) if top(i) == i]
