@@ -17,7 +17,7 @@ from facetry.llm.common import read, shared_dir
 from facetry.llm.op1_pieces import encoded
 from facetry.llm.op3_lines import without_boilerplate
 from facetry.llm.op6_quality import learnable, quality_filter, train
-from facetry.llm.op7_simhash import near_duplicates
+from facetry.llm.op7_simhash import similar_texts
 from facetry.llm.op10_mixing import mixture
 
 
@@ -29,14 +29,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines, but for those with no other lines; n_chars follows the text."""
-    out = without_boilerplate(docs, strict=True)
+    out = without_boilerplate(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id, null ids last; repeated rows leave one."""
+    """One document of each group of near duplicates, by five-word shingles at a similarity of 0.8 or more.
+
+    It is the one of the smallest id, null ids last; repeated rows leave one.
+    """
     keyed = docs.withColumn("_h", F.xxhash64("text")).withColumn("_k", F.xxhash64("doc_id", "_h"))
-    groups = near_duplicates(keyed.select(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_h", "_k").alias("doc_id"), "text"))
+    groups = similar_texts(keyed.select(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_h", "_k").alias("doc_id"), "text"))
     kept = groups.where(F.col("doc_id") == F.col("component")).select(F.col("doc_id._k").alias("_k")).distinct()
     return keyed.join(kept, "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
 
