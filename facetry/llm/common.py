@@ -21,10 +21,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEED = 42
 
 
+#: Environment of Python workers: memory that is freed goes back to the system, as a worker lives on beside the JVM.
+MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def workers_find_us(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started, and give freed memory back."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    for k, v in MEMORY.items():
+        env.setdefault(k, v)
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), root) if x)
 
@@ -49,10 +55,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(df: DataFrame) -> DataFrame:
-    """As ``cut``, but a Parquet table, which later reads can prune by column."""
+    """As ``cut``, but a Parquet table, which later reads can prune by column and which has its true size as statistics."""
+    return _stored(df)[0]
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _removed(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(doc_id: str | Column, n: int) -> Column:
@@ -145,21 +161,31 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of undirected ``edges`` (a, b); component is the smallest node reachable.
 
     Each round hooks every node to its smallest neighbour, halves the paths twice, relabels the links and
-    keeps those that still join two labels. Nothing is collected; each round is cut into the shared folder.
-    Joins meet two fresh exchanges, so that adaptive execution can split a hub's rows.
+    keeps those that still join two labels. Nothing is collected; each step is a table in the shared folder, removed
+    once no later step reads it. (Checkpoints keep estimates of size, which joins of a table with itself square each
+    time, until planning itself takes no end.) Joins meet two fresh exchanges, so that adaptive execution can split a
+    hub's rows.
     """
-    links = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = cut(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("component", F.col("node")))
+    spark, old = edges.sparkSession, []
+
+    def step(df: DataFrame) -> DataFrame:
+        out, path = _stored(df)
+        old.append(path)
+        return out
+
+    links = step(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = step(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("component", F.col("node")))
     while not links.isEmpty():
         up = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a"))
-        up = cut(up.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("y")))
+        up = step(up.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("y")))
         for _ in range(2):
-            next_up = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            up = cut(up.join(next_up, "y").select("x", F.col("z").alias("y")))
-        to = lambda df, c: df.join(up.select(F.col("x").alias(c), F.col("y").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
-        labels = cut(to(labels, "component"))
+            up = step(up.join(up.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y")))
+        to = lambda df, c, up=up: df.join(up.select(F.col("x").alias(c), F.col("y").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        labels = step(to(labels, "component"))
         links = to(to(links, "a"), "b").where("a <> b")
-        links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = step(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        _removed(spark, old[:-2])
+        del old[:-2]
     return labels
 
 

@@ -9,8 +9,10 @@ tiles a task. Each comparison keeps a spanning forest of its links, so copies ar
 
 ``similar_texts`` holds near copies to a Jaccard similarity of word shingles. At 0.8 fingerprints differ by some ten
 bits, which no bit band survives, so its tiles are cut inside the groups that share a band of minima of permuted
-shingle hashes. The comparison by bits, at a radius that such pairs keep, proposes pairs; every pair that counts as a
-link is verified on the two texts.
+shingle hashes. The comparison by bits, at a radius that such pairs keep, proposes a spanning forest of least distances;
+its pairs are verified on the two texts. Where some fail, the components that are left apart are compared whole, in
+tiles and exactly, but for the largest of them with itself; so no pair is left out, and a group of copies costs a few
+verifications a member.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ from facetry.llm.op9_minhash import P, shingle_hashes, signatures
 
 #: Members of a tile, and of a group that one task compares whole.
 TILE = 2048
+#: Members of a tile whose pairs within a wide radius are held at once; bytes of text of a tile whose texts are.
+WIDE_TILE, TILE_BYTES = 512, 8 << 20
+#: Exact copies of a text are dealt over so many tasks.
+SALTS = 16
 #: Bands of permuted minima, and minima a band: of pairs at 0.8, 99.96 % share a band.
 BANDS, ROWS = 20, 5
 
@@ -215,14 +221,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
     """
     rows = cut(fingerprints(docs, id_col, text_col, words))
     links = linked(cut(rows.select("fp").distinct()), radius)
-    return _classed(rows, "fp", links).select(F.col("id").alias(id_col), "fp", "component")
+    return _classed(rows, "fp", components(links)).select(F.col("id").alias(id_col), "fp", "component")
 
 
-def _classed(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
-    """``rows`` (id, key, ...) plus component: the smallest id reachable through links (a, b) of keys."""
+def _classed(rows: DataFrame, key: str, groups: DataFrame) -> DataFrame:
+    """``rows`` (id, key, ...) plus component: the smallest id in the group of the key, from ``groups`` (node, component)."""
     per = cut(rows.groupBy(key).agg(F.min("id").alias("least")))
-    groups = components(links).withColumnRenamed("node", key)
-    roots = per.join(groups, key, "left").select(key, "least", F.coalesce("component", key).alias("root"))
+    roots = per.join(groups.withColumnRenamed("node", key), key, "left").select(key, "least", F.coalesce("component", key).alias("root"))
     least = cut(roots.groupBy("root").agg(F.min("least").alias("component_id")))
     found = cut(lookup(roots.select(key, "root"), least, ["root"]).select(key, F.col("component_id").alias("component")))
     return lookup(rows, found, [key])
@@ -271,12 +276,31 @@ def nearest_forest(t: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
         yield _keyed(key, u[first], v[first])
 
 
-def crossing(t: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) keys of all pairs of a group within the radius whose roots differ."""
-    key, root = t["key"].to_numpy(), t["root"].to_numpy()
-    for u, v in near_pairs(t, radius):
-        apart = root[u] != root[v]
-        yield _keyed(key, u[apart], v[apart])
+def root_links(t: pa.Table, similarity: float, words: int) -> pa.Table:
+    """(a, b) roots that pairs of texts at the similarity join, from rows (root, side, text) of a tile or two; a forest of them."""
+    starts, h = shingle_sets(t["text"].combine_chunks(), words)
+    roots = t["root"].combine_chunks().dictionary_encode()
+    root, side, size = roots.indices.to_numpy(), t["side"].to_numpy(), np.diff(starts)
+    member = np.repeat(np.arange(len(size)), size)
+    # Members by shingle, and for every entry its shingle's run of members.
+    order = np.argsort(h, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    run, holders = np.diff(np.append(new, len(h))), member[order]
+    which = np.empty(len(h), np.int64)
+    which[order] = np.repeat(np.arange(len(new)), run)
+    two = side.min() != side.max()
+    a: list[np.ndarray] = [np.zeros(0, np.int64)]
+    b: list[np.ndarray] = [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(side == 0) if two else range(len(size)):
+        w = which[starts[i] : starts[i + 1]]
+        n = run[w]
+        both = np.bincount(holders[np.repeat(new[w] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(size))
+        near = np.flatnonzero((both >= similarity * (size[i] + size - both)) & (root != root[i]) & (side == 1 if two else True))
+        a.append(np.full(len(near), root[i]))
+        b.append(root[near])
+    up = union_find(len(roots.dictionary), np.concatenate(a), np.concatenate(b))
+    moved = np.flatnonzero(up != np.arange(len(up)))
+    return pa.table({"a": roots.dictionary.take(pa.array(moved)), "b": roots.dictionary.take(pa.array(up[moved]))})
 
 
 def _keyed(key: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -299,13 +323,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int)
     return pairs.join(one, "a").join(two, "b").select("ka", "kb", "x", "y").mapInArrow(run, "a string, b string")
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = WIDE_TILE) -> DataFrame:
     """(id, component) for every row: the smallest id reachable through texts whose shingle sets reach the similarity.
 
-    Texts of equal shingle sets fold into one class first. Verified first is each tile's spanning forest of least
-    distances, then every pair within the radius that still joins two components; so a group of copies costs a few
-    verifications a member, and no proposal is left out. Null and empty texts, and texts without words, are one
-    class. Rows are kept, a row for a row; a null id is larger than any other.
+    Texts of equal shingle sets fold into one class first; pairs are sought as the module's head says. Null and empty
+    texts, and texts without words, are one class. Rows are kept, a row for a row; a null id is larger than any other.
     """
     workers_find_us(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -325,25 +347,43 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_c
     classes = cut(made.groupBy("key").agg(F.min("mark").alias("mark"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("short", F.xxhash64("key")))
     radius = radius_for(similarity)
 
-    def proposals(members: DataFrame, find: Callable[[pa.Table, int], Iterator[pa.RecordBatch]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in grouped(batches, ["band", "value", "tiles"]):
-                yield from find(t, radius)
-
-        placed = tiled(members.select("*", F.posexplode("bands").alias("band", "value")).drop("bands"), tile, "key")
-        return cut(placed.mapInArrow(run, "a bigint, b bigint").distinct())
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["band", "value", "tiles"]):
+            yield from nearest_forest(t, radius)
 
-    members = classes.select(F.col("short").alias("key"), "fp", "bands")
-    pairs = proposals(members, nearest_forest)
+    placed = tiled(classes.select(F.col("short").alias("key"), "fp", F.posexplode("bands").alias("band", "value")), tile, "key")
+    pairs = cut(placed.mapInArrow(propose, "a bigint, b bigint").distinct())
     named = pairs.select(F.col("a").alias("short")).union(pairs.select("b")).distinct()
     wanted = cut(classes.join(named, "short").select("short", "key", "mark"))
-    texts = table(rows.select(mark, "text").join(wanted.select("mark").distinct(), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text")).join(wanted, "mark"))
-    links = cut(verified(pairs, texts, similarity, words))
-    roots = lookup(wanted.select("short", "key"), components(links).withColumnRenamed("node", "key"), ["key"])
-    roots = cut(roots.select(F.col("short").alias("key"), F.xxhash64(F.coalesce("component", "key")).alias("root")))
-    more = proposals(members.join(roots, "key"), crossing).join(pairs, ["a", "b"], "left_anti")
-    links = links.union(cut(verified(more, texts, similarity, words)))
-    return _classed(made.select("id", "key"), "key", links).select(F.col("id").alias(id_col), "component")
+    salted = wanted.select("mark").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    texts = rows.select(mark, "text", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["mark", "salt"], "left_semi")
+    texts = table(texts.groupBy("mark").agg(F.first("text").alias("text")).join(wanted, "mark").withColumn("size", F.octet_length("text")))
+    groups = components(verified(pairs, texts, similarity, words)).withColumnRenamed("node", "key")
+    roots = cut(lookup(wanted.select("short", "key"), groups, ["key"]).select("short", "key", F.coalesce("component", "key").alias("root")))
+    apart = pairs.join(roots.select(F.col("short").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("short").alias("b"), F.col("root").alias("rb")), "b")
+    whole = components(apart.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnRenamed("node", "root")
+    over = _joined(roots.join(whole, "root"), texts, similarity, words, tile)
+    final = roots.join(components(over).select(F.col("node").alias("root"), F.col("component").alias("last")), "root", "left")
+    return _classed(made.select("id", "key"), "key", final.select(F.col("key").alias("node"), F.coalesce("last", "root").alias("component"))).select(F.col("id").alias(id_col), "component")
+
+
+def _joined(members: DataFrame, texts: DataFrame, similarity: float, words: int, tile: int) -> DataFrame:
+    """(a, b) roots that a pair of texts at the similarity joins, from members (component, root, short).
+
+    A component is cut into tiles: those of its largest root, and those of all others. A row goes to every pair of
+    tiles that has its own and is not of the largest root alone.
+    """
+    rows = members.select("component", "root", "short").join(texts.select("short", "size"), "short")
+    size = rows.groupBy("component", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    size = size.groupBy("component").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "root")).alias("top"))
+    cuts = lambda n, size: F.greatest(F.lit(1).cast("long"), F.ceil(n / (4 * tile)), F.ceil(size / TILE_BYTES))
+    size = size.select("component", F.col("top.root").alias("main"), cuts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"), cuts(F.col("top.n"), F.col("top.bytes")).alias("own"))
+    rows = rows.join(cut(size), "component").withColumn("large", F.col("root") == F.col("main"))
+    rows = rows.withColumn("mine", F.when(F.col("large"), F.col("others") + F.pmod(F.xxhash64("short"), "own")).otherwise(F.pmod(F.xxhash64("short"), "others")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1 + F.when(F.col("large"), 0).otherwise(F.col("own")))))
+    tiles = F.least("mine", "other") * (F.col("others") + F.col("own")) + F.greatest("mine", "other")
+    rows = rows.select("component", "root", "short", tiles.alias("tiles"), (F.col("mine") > F.col("other")).cast("int").alias("side")).join(texts.select("short", "text"), "short")
+    return rows.select("component", "tiles", "root", "side", "text").groupBy("component", "tiles").applyInArrow(lambda t: root_links(t, similarity, words), "a string, b string")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
