@@ -2,12 +2,13 @@
 
 A pre-token is a run without ASCII white space. No token of these vocabularies crosses white space, the
 normalizer works within such runs, and special strings hold no white space, so a text's count is the sum over
-its pre-tokens. One pass writes blocks of documents: the block's distinct pre-tokens, and for each document its
-pre-tokens, as places among them, with their frequencies. The distinct pre-tokens of all blocks are counted once
-by the library, joined to the blocks that hold them, and gathered and summed by document.
+its pre-tokens. One pass writes blocks of documents: for each document its pre-tokens, as places among the block's
+distinct ones, with their frequencies; and the distinct ones themselves, dealt by hash into segments. A segment's
+task counts each distinct pre-token of the whole table that falls to it once, with the library, and answers every
+block in that block's order. The counts are joined to the blocks, gathered and summed by document.
 
-What is shuffled for the join is a row a block and distinct pre-token, so a very frequent word has a row a block
-and not a row a document; the frequencies themselves move once, compressed.
+A very frequent word stands once a block in its segment and not once a document, strings are shuffled once, and the
+frequencies move once, compressed.
 """
 
 from __future__ import annotations
@@ -15,17 +16,22 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import blocks, pack, read, row_sums, table, unpack, words_of, workers_find_us
+from facetry.llm.common import SEED, blocks, pack, read, row_sums, table, unpack, words_of, workers_find_us
 
 #: Bytes of text of a block; a longer text is a block of its own.
 BLOCK = 16 << 20
+#: Bytes of text a segment of pre-tokens stands for, and segments at least.
+SEGMENT, LEAST = 64 << 20, 32
 
 #: A word of these letters alone is one pre-token, and lower-casing it by letter is what the normalizer does.
 LETTERS = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
@@ -40,6 +46,7 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(char[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
+@lru_cache(maxsize=2)
 def piece_counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     """Counts of distinct words by the tokenizers library, for a vocabulary whose tokens do not cross white space.
 
@@ -86,13 +93,17 @@ def piece_counter(path: str) -> Callable[[pa.Array], np.ndarray]:
 
 
 def frequencies(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pre-tokens of a block; and by document how many of them it has, which, and how often each."""
+    """Distinct pre-tokens of a block, the most frequent first; and by document how many of them it has, which, and how often each."""
     starts, words = words_of(texts)
     coded = words.dictionary_encode()
     most = max(1, len(coded.dictionary))
     row = np.repeat(np.arange(len(texts)), np.diff(starts))
-    pair, times = np.unique(row * most + coded.indices.to_numpy(), return_counts=True) if len(words) else (row, row)
-    return coded.dictionary, np.bincount(pair // most, minlength=len(texts)), pair % most, times
+    code = coded.indices.to_numpy()
+    order = np.argsort(-np.bincount(code, minlength=len(coded.dictionary)), kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    pair, times = np.unique(row * most + place[code], return_counts=True) if len(words) else (row, row)
+    return coded.dictionary.take(pa.array(order)), np.bincount(pair // most, minlength=len(texts)), pair % most, times
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,19 +116,37 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = max(LEAST, -(-size // SEGMENT))
+    fields = ["block", "seg", "ids", "n_bytes", "n_words", "pairs", "words"]
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, press = xxhash.xxh64_intdigest, zstandard.ZstdCompressor(level=3)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         for b in blocks(batches, "text", BLOCK):
             words, n, at, times = frequencies(b.column("text"))
+            seg = np.fromiter((digest(w, SEED) % segments for w in words.cast(pa.large_binary()).to_pylist()), np.int64, len(words))
+            order = np.argsort(seg, kind="stable")
+            block = uuid.uuid4().int >> 65
             n_bytes = pc.binary_length(b.column("text")).cast(pa.int64())
-            cells = [pa.array([uuid.uuid4().hex]), one(b.column("id")), one(n_bytes), one(pa.array(n, pa.int32())), one(words.cast(pa.string())), pa.array([pack(at, times)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cells, ["block", "ids", "n_bytes", "n_words", "words", "pairs"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_library = piece_counter(tokenizer)
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(by_library(b.column("word")), pa.int32())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), one(b.column("id")), one(n_bytes), one(pa.array(n, pa.int32())), pa.array([pack(at, times)], pa.binary()), pa.array([pack(seg)], pa.binary())], fields)
+            if not len(words):
+                continue
+            found, first = np.unique(seg[order], return_index=True)
+            words = words.take(pa.array(order))
+            # No pre-token holds a line feed.
+            blobs = [press.compress("\n".join(words[i:j].to_pylist()).encode()) for i, j in zip(first, np.append(first[1:], len(order)), strict=True)]
+            none = [pa.nulls(len(found), t) for t in (b.column("id").type, pa.int64(), pa.int32())]
+            lists = [pa.nulls(len(found), pa.list_(x.type)) for x in none]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found, pa.int32()), *lists, pa.nulls(len(found), pa.binary()), pa.array(blobs, pa.binary())], fields)
+
+    def count(t: pa.Table) -> pa.Table:
+        by_library, open_ = piece_counter(tokenizer), zstandard.ZstdDecompressor()
+        lists = [open_.decompress(x).decode().split("\n") for x in t["words"].to_pylist()]
+        coded = pa.array([w for x in lists for w in x], pa.large_string()).dictionary_encode()
+        n = by_library(coded.dictionary.cast(pa.string()))[coded.indices.to_numpy()]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        return pa.table({"block": t["block"], "seg": t["seg"], "n": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(n, pa.int32()))})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,15 +154,17 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
                 ids, n_bytes, n_words, counts = (b.column(c)[i].values for c in ("ids", "n_bytes", "n_words", "counts"))
                 total = np.zeros(len(ids), np.int64)
                 if counts is not None:
-                    at, times = unpack(b.column("pairs")[i].as_py(), 2)
-                    total = row_sums(counts.to_numpy()[at] * times, np.concatenate([[0], np.cumsum(n_words.to_numpy())]))
+                    (at, times), (seg,) = unpack(b.column("pairs")[i].as_py(), 2), unpack(b.column("words")[i].as_py(), 1)
+                    n = np.empty(len(seg), np.int64)
+                    n[np.argsort(seg, kind="stable")] = counts.to_numpy()  # answers come by segment
+                    total = row_sums(n[at] * times, np.concatenate([[0], np.cumsum(n_words.to_numpy())]))
                 yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(total)], ["id", "n_bytes", "n_tokens"])
 
-    made = table(rows.mapInArrow(split, f"block string, ids array<{kind}>, n_bytes array<bigint>, n_words array<int>, words array<string>, pairs binary"))
-    words = made.select("block", F.posexplode("words").alias("at", "word"))
-    counted = words.select("word").distinct().mapInArrow(count, "word string, n int")
-    counts = words.join(counted, "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("counts"))
-    placed = made.drop("words").join(counts.select("block", F.transform("counts", lambda x: x["n"].cast("long")).alias("counts")), "block", "left")
+    made = table(rows.mapInArrow(split, f"block bigint, seg int, ids array<{kind}>, n_bytes array<bigint>, n_words array<int>, pairs binary, words binary"))
+    counted = made.where("seg >= 0").select("block", "seg", "words").groupBy("seg").applyInArrow(count, "block bigint, seg int, n array<int>")
+    counts = counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("seg", "n"))).alias("parts"))
+    counts = counts.select("block", F.flatten(F.transform("parts", lambda p: p["n"])).alias("counts"))
+    placed = made.where("seg < 0").drop("seg").join(counts, "block", "left")
     out = placed.mapInArrow(add, f"id {kind}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
