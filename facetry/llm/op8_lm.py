@@ -15,6 +15,8 @@ sizes of segments.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import os
 import tempfile
@@ -47,12 +49,48 @@ for _b in range(256):
         SELECT[_k << 8 | _b] = _p
 
 
+@lru_cache(maxsize=1)
+def keep_large_arrays() -> None:
+    """This worker keeps freed arrays below 32 MB for itself: here they are made and freed by the million tokens."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
+class Packed:
+    """Unsigned numbers of equal width, side by side."""
+
+    def __init__(self, words: np.ndarray, bits: int) -> None:
+        self.words, self.bits = words, bits
+
+    @staticmethod
+    def build(v: np.ndarray, bits: int) -> np.ndarray:
+        words = np.zeros((len(v) * bits >> 6) + 2, U)
+        if bits:
+            x, at = v.astype(U) & U((1 << bits) - 1), np.arange(len(v), dtype=U) * U(bits)
+            w, off = (at >> U(6)).astype(np.int64), at & U(63)
+            np.bitwise_or.at(words, w, x << off)
+            spill = off + U(bits) > U(64)
+            np.bitwise_or.at(words, w[spill] + 1, x[spill] >> (U(64) - off[spill]))
+        return words
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros(len(i), U)
+        at = i.astype(U) * U(self.bits)
+        w, off = (at >> U(6)).astype(np.int64), at & U(63)
+        second = np.where(off > 0, self.words[w + 1] << ((U(64) - off) & U(63)), U(0))
+        return (self.words[w] >> off | second) & U((1 << self.bits) - 1)
+
+
 class EliasFano:
     """A sorted sequence of unsigned numbers: low bits packed, high bits as unary runs with rank directories."""
 
     def __init__(self, arrays: dict[str, np.ndarray], name: str) -> None:
         self.n, self.bits = (int(x) for x in arrays[f"{name}.size"])
-        self.low, self.high, self.ones, self.zeros = (arrays[f"{name}.{k}"] for k in ("low", "high", "ones", "zeros"))
+        self.lows = Packed(arrays[f"{name}.low"], self.bits)
+        self.high, self.ones, self.zeros = (arrays[f"{name}.{k}"] for k in ("high", "ones", "zeros"))
         self.top: int | None = None  # high part of the last element
 
     @staticmethod
@@ -61,19 +99,12 @@ class EliasFano:
         n = len(v)
         top = int(v[-1]) if n else 0
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        low = np.zeros((n * bits >> 6) + 2, U)
-        if bits:
-            x, at = v & U((1 << bits) - 1), np.arange(n, dtype=U) * U(bits)
-            w, off = (at >> U(6)).astype(np.int64), at & U(63)
-            np.bitwise_or.at(low, w, x << off)
-            spill = off + U(bits) > U(64)
-            np.bitwise_or.at(low, w[spill] + 1, x[spill] >> (U(64) - off[spill]))
         ones = (v >> U(bits)).astype(np.int64) + np.arange(n)
         flags = np.zeros(((top >> bits) + n + 64 >> 6) * 64 + 64, np.uint8)
         flags[ones] = 1
         high = np.packbits(flags, bitorder="little").view(U)
         c = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
-        return {f"{name}.size": np.array([n, bits]), f"{name}.low": low, f"{name}.high": high, f"{name}.ones": c, f"{name}.zeros": np.arange(len(c)) * 64 - c}
+        return {f"{name}.size": np.array([n, bits]), f"{name}.low": Packed.build(v, bits), f"{name}.high": high, f"{name}.ones": c, f"{name}.zeros": np.arange(len(c)) * 64 - c}
 
     @staticmethod
     def _pick(word: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -86,18 +117,10 @@ class EliasFano:
         rest = k - ((c << U(8)) >> byte & U(255))
         return (byte + SELECT[(rest << U(8)) | (word >> byte & U(255))]).astype(np.int64)
 
-    def lows(self, i: np.ndarray) -> np.ndarray:
-        if not self.bits:
-            return np.zeros(len(i), U)
-        at = i.astype(U) * U(self.bits)
-        w, off = (at >> U(6)).astype(np.int64), at & U(63)
-        second = np.where(off > 0, self.low[w + 1] << ((U(64) - off) & U(63)), U(0))
-        return (self.low[w] >> off | second) & U((1 << self.bits) - 1)
-
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         w = np.searchsorted(self.ones, i, side="right") - 1
         place = w * 64 + self._pick(self.high[w], i - self.ones[w])
-        return (place - i).astype(U) << U(self.bits) | self.lows(i)
+        return (place - i).astype(U) << U(self.bits) | self.lows[i]
 
     def ends(self, h: np.ndarray) -> np.ndarray:
         """Number of elements whose high part is at most h."""
@@ -129,9 +152,9 @@ class EliasFano:
         x = x[inside]
         lo, hi = self.runs((x >> U(self.bits)).astype(np.int64))
         want = x & U((1 << self.bits) - 1)
-        at = successor(lambda i: self.lows(i), lo, hi, want)
+        at = successor(self.lows.__getitem__, lo, hi, want)
         ok = np.flatnonzero(at < hi)
-        ok = ok[self.lows(at[ok]) == want[ok]]
+        ok = ok[self.lows[at[ok]] == want[ok]]
         out[inside[ok]] = at[ok]
         return out
 
@@ -266,9 +289,9 @@ class Level:
                 if len(q):
                     lo, hi = (np.repeat(seg["pointer"][ctx[known] + d].astype(np.int64), run) for d in (0, 1))
                     words, w = seg["last"], word[i[q]]
-                    p = successor(lambda k, words=words: words[k], lo, hi, w)
+                    p = successor(words.__getitem__, lo, hi, w.astype(U))
                     ok = np.flatnonzero(p < hi)
-                    ok = ok[words[p[ok]] == w[ok]]
+                    ok = ok[words[p[ok]] == w[ok].astype(U)]
                     at[q[ok]] = p[ok]
             hit = at >= 0
             node[i[hit]] = at[hit] + self.base[s]
@@ -282,7 +305,7 @@ def _segment(uri: str, n: int) -> dict:
     if n == 1:
         return {"word": EliasFano(a, "word"), "count": a["count"]}
     if n > 1:
-        return {"context": EliasFano(a, "context"), "pointer": EliasFano(a, "pointer"), "last": a["last"], "p": a["p"], "count": Counts(a) if "count.small" in a else None}
+        return {"context": EliasFano(a, "context"), "pointer": EliasFano(a, "pointer"), "last": Packed(a["last"], int(a["bits"][0])), "p": a["p"], "count": Counts(a) if "count.small" in a else None}
     return a
 
 
@@ -316,6 +339,7 @@ def summed(blobs: list[bytes], columns: int) -> tuple[list[np.ndarray], np.ndarr
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row starts (n+1), codes of tokens, and the hash of each code; an end closes every text."""
+    keep_large_arrays()
     starts, flat = words_of(lower_ascii(texts))
     coded = flat.dictionary_encode()
     digest = xxhash.xxh64_intdigest
@@ -432,8 +456,8 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, text_
             whole = known[n - 2].gather(parent, "count")
             at = np.flatnonzero(np.diff(parent, prepend=-1))
             arrays = EliasFano.build(parent[at], "context") | EliasFano.build(np.append(at, len(parent)), "pointer")
-            ids = word.astype(np.uint32) if known[0].base[-1] < 1 << 32 else word
-            save(f"{uri}/L{n}-{s}", arrays | {"last": ids, "p": quantised((count - DISCOUNT) / np.maximum(whole, 1))} | (Counts.build(count) if n < order else {}))
+            bits = int(known[0].base[-1]).bit_length()
+            save(f"{uri}/L{n}-{s}", arrays | {"bits": np.array([bits]), "last": Packed.build(word, bits), "p": quantised((count - DISCOUNT) / np.maximum(whole, 1))} | (Counts.build(count) if n < order else {}))
             if n < order:  # only contexts have a weight
                 save(f"{uri}/W{n}-{s}", {"weight": np.zeros(len(count), np.uint16)})
             out = [{"kind": "size", "seg": s, "n": len(count), "tokens": int(count.sum()), "blob": None}]
@@ -450,7 +474,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, text_
         total = total or sum(t for _, t in sizes.values())
         for s in set(range(segments)) - set(sizes):  # no n-gram fell there
             none = np.zeros(0, np.int64)
-            save(f"{uri}/L{n}-{s}", EliasFano.build(none, "word") | EliasFano.build(none, "context") | EliasFano.build(np.zeros(1, np.int64), "pointer") | {"last": none, "p": none.astype(np.uint16), "count": none} | Counts.build(none))
+            save(f"{uri}/L{n}-{s}", EliasFano.build(none, "word") | EliasFano.build(none, "context") | EliasFano.build(np.zeros(1, np.int64), "pointer") | {"bits": np.zeros(1, np.int64), "last": Packed.build(none, 0), "p": none.astype(np.uint16), "count": none} | Counts.build(none))
             save(f"{uri}/W{n}-{s}", {"weight": none.astype(np.uint16)})
         levels.append(Level(uri, n, tuple(np.concatenate([[0], np.cumsum([sizes.get(s, (0, 0))[0] for s in range(segments)])]).tolist())))
         if n == 1:
