@@ -160,15 +160,19 @@ class EliasFano:
 
 
 def successor(get, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """First place in [lo, hi) whose value is at least ``want``, else hi, for all queries at once."""
+    """First place in [lo, hi) whose value is at least ``want``, or hi - 1, for all queries at once.
+
+    It is the only place that can hold ``want``; runs of one are not read.
+    """
     lo, hi = lo.copy(), hi.copy()
-    live = np.flatnonzero(lo < hi)
+    live = np.flatnonzero(hi - lo > 1)
     while len(live):
-        mid = (lo[live] + hi[live]) >> 1
+        low, high = lo[live], hi[live]
+        mid = (low + high - 1) >> 1
         less = get(mid) < want[live]
-        lo[live[less]] = mid[less] + 1
-        hi[live[~less]] = mid[~less]
-        live = live[lo[live] < hi[live]]
+        lo[live] = low = np.where(less, mid + 1, low)
+        hi[live] = high = np.where(less, high, mid + 1)
+        live = live[high - low > 1]
     return lo
 
 
