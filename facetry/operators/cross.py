@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.labels import MISSING, NOT_MISSING
+from facetry.operators.frame import numbered, with_sums
 from facetry.operators.reports import concentration, ratio
 
 _NUMBER = r"-?[0-9_]+(?:\.[0-9_]+)?"
@@ -22,12 +23,11 @@ def category_order(values: DataFrame, value: str, by: str) -> DataFrame:
     number = lambda pattern: F.regexp_replace(F.regexp_extract(value, pattern, 1), "_", "").try_cast("double")
     v = values.withColumn("_d", number(rf"^({_NUMBER})")).withColumn("_u", number(_UPPER)).withColumn("_l", number(_LAST) + 1)
     v = v.withColumn("_b", F.coalesce("_u", "_l"))
-    w = Window.partitionBy()
-    all_digits, all_bins = F.bool_and(plain | F.col("_d").isNotNull()).over(w), F.bool_and(plain | F.col("_b").isNotNull()).over(w)
-    key = F.when(all_digits, F.col("_d")).when(all_bins, F.col("_b")).otherwise(F.col(by).cast("double"))
+    v = with_sums(v, {"_digits": F.bool_and(plain | F.col("_d").isNotNull()), "_bins": F.bool_and(plain | F.col("_b").isNotNull())})
+    key = F.when(F.col("_digits"), F.col("_d")).when(F.col("_bins"), F.col("_b")).otherwise(F.col(by).cast("double"))
     first = F.when(F.col(value) == MISSING, 0).when(F.col(value) == NOT_MISSING, 1).otherwise(2)
-    v = v.withColumn("_k", key).withColumn("_f", first)
-    return v.withColumn("place", F.row_number().over(Window.orderBy("_f", "_k", value))).drop("_d", "_u", "_l", "_b", "_k", "_f")
+    v = v.withColumn("_f", first).withColumn("_k", F.when(F.col("_f") < 2, float("-inf")).otherwise(F.coalesce(key, F.lit(-1.7e308))))
+    return numbered(v, "_k", "place", ["_f", value]).drop("_d", "_u", "_l", "_b", "_k", "_f", "_digits", "_bins")
 
 
 def pivoted(rows: DataFrame, down: str, across: str, cell: str, values: Sequence[str] | None = None) -> DataFrame:
@@ -69,10 +69,8 @@ def regions(df: DataFrame, predicates: Mapping[str, Column], target: str) -> Dat
     """Non-empty patterns of predicates with rows, share of all rows, target and rate; an empty region has no rate."""
     names = list(predicates)
     g = df.select(*[F.coalesce(p, F.lit(False)).alias(k) for k, p in predicates.items()], F.col(target).cast("long").alias("y")).groupBy(*names).agg(F.count("*").alias("n"), F.sum("y").alias("t"))
-    total = F.sum("n").over(Window.partitionBy())
     grid = df.sparkSession.range(1, 1 << len(names)).select(*[(F.shiftright("id", i).bitwiseAND(1) == 1).alias(k) for i, k in enumerate(names)])
-    g = g.withColumn("whole", total)
-    whole = g.agg(F.max("whole").alias("all"))
+    whole = g.agg(F.sum("n").alias("all"))
     out = grid.join(g, names, "left").crossJoin(F.broadcast(whole))
     n, t = F.coalesce("n", F.lit(0)), F.coalesce("t", F.lit(0))
     return out.select(*names, n.alias("n"), (100 * ratio(n, F.col("all"))).alias("population"), t.alias("target"), (100 * ratio(t, n)).alias("target_rate"))
@@ -92,6 +90,6 @@ def intersections(sets: Mapping[str, DataFrame], keys: Sequence[str], least: int
 def legacy_cross(df: DataFrame, one: str, two: str, target: str, aggregate=lambda c: 100 * F.avg(c), show_min: float = 1.0) -> DataFrame:
     """(one, two, size, value, population) of pairs with at least ``show_min`` percent of the rows."""
     g = df.groupBy(one, two).agg(F.count("*").alias("size"), aggregate(F.col(target)).alias("value"))
-    share = 100 * ratio(F.col("size"), F.sum("size").over(Window.partitionBy()))
-    return g.withColumn("population", share).where(F.col("population") >= show_min)
+    g = with_sums(g, {"_all": F.sum("size")})
+    return g.withColumn("population", 100 * ratio(F.col("size"), F.col("_all"))).where(F.col("population") >= show_min).drop("_all")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegralType, NumericType
 
 from facetry.functions.labels import MISSING
+from facetry.operators.running import running
 
 
 def numeric(df: DataFrame, name: str) -> bool:
@@ -134,9 +135,17 @@ def text_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return fill_missing(df, dict.fromkeys(names, MISSING))
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows of a report numbered from 1."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))
+def with_sums(df: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
+    """Rows of a report with whole-report aggregates beside each: one row, joined to all."""
+    return df.crossJoin(F.broadcast(df.agg(*[x.alias(k) for k, x in sums.items()])))
 
 
+def numbered(df: DataFrame, value: str, name: str, ties: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """Rows numbered from 1 by a number, null last, and by ``ties`` among equal ones.
+
+    Rows before a value come from running sums over ranges of values; a window holds the rows of one value only.
+    """
+    df = df.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf") if descending else float("inf"))))
+    ahead = running(df.groupBy("_v").agg(F.count("*").alias("n")), "_v", ["n"], descending=descending).select("_v", (F.col("run_n") - F.col("n")).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy("_v").orderBy(*(ties or ["_v"])))
+    return df.withColumn("_own", own).join(ahead, "_v").withColumn(name, (F.col("_ahead") + F.col("_own")).cast("int")).drop("_v", "_own", "_ahead")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.functions.labels import EPSILON, ORD
+from facetry.operators.frame import numbered, with_sums
 
 #: Grouping sets of one aggregation at most; more are united.
 SETS = 64
@@ -31,8 +32,8 @@ def place_of(df: DataFrame, c: str) -> Column:
 def group_stats(df: DataFrame, name: str) -> DataFrame:
     """(group_number, group, total, population) of one variable."""
     g = df.groupBy(F.col(name).alias("group"), place_of(df, name).alias("ord")).agg(F.count("*").alias("total"))
-    number = F.row_number().over(Window.orderBy("ord", "group"))
-    return g.select(number.alias("group_number"), "group", "total", (100 * ratio(F.col("total"), F.sum("total").over(Window.partitionBy()))).alias("population"))
+    g = with_sums(numbered(g, "ord", "group_number", ["group"]), {"whole": F.sum("total")})
+    return g.select("group_number", "group", "total", (100 * ratio(F.col("total"), F.col("whole"))).alias("population"))
 
 
 def grouped_target(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
@@ -157,6 +158,17 @@ def sub_segments(report: DataFrame, most: int, chosen: dict[str, str]) -> DataFr
     return report
 
 
+def chosen_segments(report: DataFrame, most: int, chosen: dict[str, str]) -> DataFrame:
+    """Segments made of chosen values only, of one or more; columns past their number go, and longer segments come first."""
+    k = min(len(chosen), most)
+    for i in range(1, most + 1):
+        name, value = F.col(f"var{i}_name"), F.col(f"var{i}_value")
+        hits = [(name == c) & (value == v) for c, v in chosen.items()]
+        report = report.where(name.isNull() | reduce(lambda a, b: a | b, hits)) if i <= k else report.where(name.isNull())
+    report = report.drop(*[f"var{i}_{x}" for i in range(k + 1, most + 1) for x in ("name", "value")])
+    return report.orderBy(*[F.col(f"var{i}_name").asc_nulls_last() for i in range(k, 0, -1)])
+
+
 def stability(df: DataFrame, split: str, names: Sequence[str], low: int = 1, high: int = 1, main: object = None, target: str | None = None) -> DataFrame:
     """Population, and target, of each segment in each split against the main rows: those of split ``main``, or all.
 

@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetry.operators.frame import with_sums
 from facetry.operators.reports import ratio
 from facetry.operators.running import running
 
@@ -16,8 +17,8 @@ from facetry.operators.running import running
 def cramers_v(df: DataFrame, one: str, two: str, corrected: bool = True) -> DataFrame:
     """One row (v): Cramer's V of two columns, bias-corrected or plain; 2 x 2 tables get Yates' correction."""
     g = df.where(F.col(one).isNotNull() & F.col(two).isNotNull()).groupBy(F.col(one).alias("a"), F.col(two).alias("b")).agg(F.count("*").cast("double").alias("o"))
-    g = g.withColumn("ra", F.sum("o").over(Window.partitionBy("a"))).withColumn("cb", F.sum("o").over(Window.partitionBy("b"))).withColumn("n", F.sum("o").over(Window.partitionBy()))
-    g = g.withColumn("e", F.col("ra") * F.col("cb") / F.col("n"))
+    g = g.withColumn("ra", F.sum("o").over(Window.partitionBy("a"))).withColumn("cb", F.sum("o").over(Window.partitionBy("b")))
+    g = with_sums(g, {"n": F.sum("o")}).withColumn("e", F.col("ra") * F.col("cb") / F.col("n"))
     s = g.agg(F.count_distinct("a").alias("r"), F.count_distinct("b").alias("k"), F.max("n").alias("n"), F.sum(F.col("o") ** 2 / F.col("e")).alias("oe"), F.sum(F.pow(F.greatest(F.abs(F.col("o") - F.col("e")) - 0.5, F.lit(0.0)), F.lit(2.0)) / F.col("e")).alias("yates"), F.count("*").alias("cells"))
     # Empty cells add their expectation; over all cells chi2 is sum(o^2 / e) - n.
     s = s.withColumn("chi2", F.when((F.col("r") == 2) & (F.col("k") == 2) & (F.col("cells") == 4), F.col("yates")).otherwise(F.col("oe") - F.col("n")))
@@ -54,12 +55,26 @@ def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def kendall(df: DataFrame, one: str, two: str) -> DataFrame:
-    """One row (tau): tau-b of two binned columns by pairs of their few distinct value pairs."""
-    g = df.where(F.col(one).isNotNull() & F.col(two).isNotNull()).groupBy(F.col(one).alias("x"), F.col(two).alias("y")).agg(F.count("*").cast("double").alias("n"))
-    h = g.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-    sign = F.signum((F.col("x2") - F.col("x")).cast("double")) * F.signum((F.col("y2") - F.col("y")).cast("double"))
-    p = g.crossJoin(F.broadcast(h)).agg(*[F.sum(F.col("n") * F.col("n2") * v).alias(k) for k, v in (("s", sign), ("dx", (F.col("x") != F.col("x2")).cast("double")), ("dy", (F.col("y") != F.col("y2")).cast("double")))])
-    return p.select(ratio(F.col("s"), F.sqrt(F.col("dx") * F.col("dy"))).alias("tau"))
+    """One row (tau): tau-b of two numeric columns.
+
+    Distinct values of the second have ranks. Two ranks first differ at one binary digit; for each digit and each
+    prefix before it, running sums in order of the first column count the pairs in and out of order. So the work is
+    the distinct value pairs times the digits, and no pair of rows is made.
+    """
+    known = df.where(F.col(one).isNotNull() & F.col(two).isNotNull())
+    g = known.groupBy(F.col(one).cast("double").alias("x"), F.col(two).cast("double").alias("y")).agg(F.count("*").alias("n"))
+    ranks = running(g.groupBy("y").agg(F.lit(1).cast("long").alias("one")), "y", ["one"]).select("y", (F.col("run_one") - 1).alias("rank"))
+    digits = max(1, int(ranks.agg(F.max("rank")).first()[0] or 0).bit_length())
+    cells = g.join(ranks, "y").select("x", "n", "rank", F.explode(F.array(*[F.lit(i) for i in range(digits)])).alias("digit"))
+    high = F.expr("(rank >> digit) & 1") == 1
+    cells = cells.groupBy("digit", F.expr("rank >> (digit + 1)").alias("prefix"), "x").agg(F.sum(F.when(high, 0).otherwise(F.col("n"))).alias("low"), F.sum(F.when(high, F.col("n")).otherwise(0)).alias("high"))
+    run = running(cells, "x", ["low", "high"], ["digit", "prefix"])
+    d = lambda c: F.col(c).cast("double")
+    s = run.agg(F.sum(d("high") * (d("run_low") - d("low")) - d("low") * (d("run_high") - d("high"))).alias("s"))
+    ties = lambda c: g.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(d("n")).alias(f"n{c}"), F.sum(d("n") * d("n")).alias(f"t{c}"))
+    p = s.crossJoin(F.broadcast(ties("x"))).crossJoin(F.broadcast(ties("y")))
+    pairs = lambda c: F.col(f"n{c}") * F.col(f"n{c}") - F.col(f"t{c}")
+    return p.select(ratio(2 * F.col("s"), F.sqrt(pairs("x") * pairs("y"))).alias("tau"))
 
 
 def cramer_matrix(df: DataFrame, names: Sequence[str], corrected: bool = True) -> DataFrame:
@@ -115,7 +130,7 @@ def calibration(df: DataFrame, pred: str, fact: str, bins: Sequence[float]) -> D
     for i in range(len(edges) - 1):
         place = F.when((F.col(pred) > edges[i]) & (F.col(pred) <= edges[i + 1]), i).otherwise(place)
     g = df.select(place.alias("bin"), F.col(pred).cast("double").alias("p"), F.col(fact).cast("double").alias("y")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("count"), F.avg("p").alias("predicted"), F.avg("y").alias("observed"))
-    g = g.withColumn("population", 100 * ratio(F.col("count"), F.sum("count").over(Window.partitionBy())))
+    g = with_sums(g, {"_all": F.sum("count")}).withColumn("population", 100 * ratio(F.col("count"), F.col("_all"))).drop("_all")
     grid = df.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))], "bin int, low double, high double")
     return grid.join(g, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 

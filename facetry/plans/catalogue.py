@@ -159,6 +159,59 @@ ended as (select variable, case when acc >= {0.8 * min_prc} then list_append(cut
 cutoffs as (select variable, case when 100 * known / total < {min_prc} or 100 * top / total >= {100 - min_prc} or k <= 1 then []::double[] else list_sort(list_distinct(list_transform(c[1:len(c) - 1], lambda x: case when whole and {digits} = 0 then trunc(x) else x end))) end as cutoffs from ended join tot using (variable))"""
 
 
+def tree_sql(name: str, names: Sequence[str], min_prc: float) -> str:
+    """The tree as a recursive query over runs of each variable's values: a run is split where its parts are purest."""
+    cells = " union all ".join(f"select '{c}' as variable, {c}::double as value, count(*)::bigint as n, sum(y)::bigint as t from {name} group by all" for c in names)
+    sums = lambda x: f"(x.{x} - lo.{x}), (hi.{x} - x.{x})"
+    part = lambda n, t: f"({t} * {t} + ({n} - {t}) * ({n} - {t})) / {n}"
+    (ln, rn), (lt, rt) = (sums(x).split(", ") for x in ("cn", "ct"))
+    return f"""with recursive {FRAMES[name]}, h as ({cells}),
+tot as (select variable, round_even({min_prc}::double * sum(n) / 100, 0) as least, count(value) as k, 100 * coalesce(sum(n) filter (value is not null), 0)::double / sum(n) < {min_prc} or 100 * max(n)::double / sum(n) >= {100 - min_prc} or count(value) <= 1 as bare from h group by variable),
+v as (select variable, value::float::double as v, row_number() over w as i, (sum(n) over w)::double as cn, (sum(t) over w)::double as ct from h where value is not null window w as (partition by variable order by value)),
+c as (select variable, i, cn, ct from v union all select variable, 0, 0, 0 from tot),
+node(variable, a, b) as (
+  select variable, 0::bigint, k from tot where not bare
+  union all
+  select variable, unnest([a, i]), unnest([i, b]) from (
+    select d.variable, d.a, d.b, arg_max(x.i, ({part(ln, lt)} + {part(rn, rt)}, -x.i)) as i
+    from node d join tot using (variable) join c lo on lo.variable = d.variable and lo.i = d.a join c hi on hi.variable = d.variable and hi.i = d.b join c x on x.variable = d.variable and x.i > d.a and x.i < d.b
+    where hi.ct - lo.ct > 0 and hi.ct - lo.ct < hi.cn - lo.cn and {ln} >= least and {rn} >= least
+    group by d.variable, d.a, d.b)),
+ends as (select variable, min(v) as low, max(v) as high from v group by variable),
+found as (select distinct d.variable, (l.v / 2 + r.v / 2)::float::double as cut from node d join v l on l.variable = d.variable and l.i = d.b join v r on r.variable = d.variable and r.i = d.b + 1),
+cuts as (select tot.variable, coalesce(list(cut order by cut) filter (cut > low and cut < high), []::double[]) as cutoffs from tot left join found using (variable) left join ends using (variable) group by tot.variable)"""
+
+
+def tree_base_sql(name: str, names: Sequence[str], min_prc: float) -> str:
+    """Labels and places of variables in the tree's bins."""
+    cols = []
+    for c in names:
+        cut = f"(select cutoffs from cuts where variable = '{c}')"
+        place = f"case when {c} is null then 0 else 1 + len(list_filter({cut}, lambda x: x < {c})) end"
+        cols.append(f"{place} as {c}__place, {cut} as {c}__cuts")
+    label = lambda c: f"case when {c}__place = 0 then '{MISSING}' when len({c}__cuts) = 0 then '__NOT_MISSING__' when {c}__place = 1 then '<= ' || {c}__cuts[1]::varchar when {c}__place > len({c}__cuts) then '> ' || {c}__cuts[-1]::varchar else '(' || {c}__cuts[{c}__place - 1]::varchar || '; ' || {c}__cuts[{c}__place]::varchar || ']' end as {c}, {c}__place::double as {c}__ord"
+    return f"{tree_sql(name, names, min_prc)}, placed as (select {', '.join(cols)}, y from {name}), b as (select {', '.join(label(c) for c in names)}, y from placed)"
+
+
+def legacy_sql(name: str, names: Sequence[str], min_size: float = 5.0, digits: int = 2) -> str:
+    """The older cutoffs: groups by running share, each small one joined to a neighbour, from left to right."""
+    cells = " union all ".join(f"select '{c}' as variable, {c}::double as value, count(*)::bigint as n from {name} group by all" for c in names)
+    small = f"round_even(s.prc, 0) < {min_size} and s.m > 1"
+    left = "(s.i = s.m or (s.i > 1 and s.before < s.after))"
+    return f"""with recursive {FRAMES[name]}, h as ({cells}),
+tot as (select variable, sum(n)::double as total from h group by variable),
+r as (select variable, round_even(value, {digits}) as value, sum(n)::double as n from h where value is not null group by 1, 2),
+p as (select variable, value, 100.0 * n / total as prc, floor(100.0 * (sum(n) over (partition by variable order by value)) / total / {min_size}) as g from r join tot using (variable)),
+q as (select variable, g - case when prc > {min_size} then 0.5 else 0 end as grp, sum(prc) as prc, max(value) as value from p group by all),
+s as (select *, row_number() over w as i, count(*) over (partition by variable) as m, lag(prc) over w as before, lead(prc) over w as after, lead(grp) over w as next from q window w as (partition by variable order by grp)),
+fold(variable, i, key) as (
+  select variable, 1::bigint, case when {small} and not {left} then next else grp end::double from s where i = 1
+  union all
+  select s.variable, s.i, case when {small} then case when {left} then f.key else s.next end else s.grp end::double from fold f join s on s.variable = f.variable and s.i = f.i + 1),
+tops as (select variable, key, max(value) as value from fold join s using (variable, i) group by all),
+ends as (select *, row_number() over (partition by variable order by key desc) as from_end from tops)"""
+
+
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -210,7 +263,7 @@ def exploded(df: DataFrame) -> DataFrame:
 
 query("cutoffs_unsupervised", f"{greedy_sql('li', ['l_quantity', 'l_discount'], 15)} select variable, round(unnest(cutoffs), 6) as cutoff from cutoffs")(lambda s, d: exploded(binning.greedy_cutoffs(li(s, d), ["l_quantity", "l_discount"])))
 query("all_vars_cutoffs", f"{greedy_sql('li', NUM, 20)} select variable, round(unnest(cutoffs), 6) as cutoff from cutoffs")(lambda s, d: exploded(binning.greedy_cutoffs(li(s, d), NUM, 20)))
-query("cutoffs_supervised")(lambda s, d: exploded(binning.tree_cutoffs(li(s, d), NUM, "y", 10.0)))
+query("cutoffs_supervised", f"{tree_sql('li', NUM, 10)} select variable, round(unnest(cutoffs), 6) as cutoff from cuts")(lambda s, d: exploded(binning.tree_cutoffs(li(s, d), NUM, "y", 10.0)))
 
 
 def auto(s: SparkSession, d: str) -> DataFrame:
@@ -239,6 +292,8 @@ _inside = "(case when r.var1_name = 'l_linestatus' then r.var1_value when r.var2
 query("segment_subsegments", concentration_sql(LIB, list(LI_VARS), 1, 3, _inside))(lambda s, d: reports.sub_segments(reports.concentration(prepared(li(s, d), LI_VARS), list(LI_VARS), "y", 1, 3), 3, {"l_linestatus": "O"}))
 _name = "'(' || r.var1_name || ' = \"' || r.var1_value || '\")' || coalesce(' & (' || r.var2_name || ' = \"' || r.var2_value || '\")', '')"
 query("segment_names", concentration_sql(LIB, list(LI_VARS), 1, 2, columns=f"{_name} as segment, count"))(lambda s, d: reports.named(reports.concentration(prepared(li(s, d), LI_VARS), list(LI_VARS), "y", 1, 2), 2).select("segment", "count"))
+_made = "(r.var1_name, r.var1_value) in (('l_linestatus', 'O'), ('l_discount', '<= 0.03')) and (r.var2_name is null or (r.var2_name, r.var2_value) in (('l_linestatus', 'O'), ('l_discount', '<= 0.03'))) and r.var3_name is null"
+query("segment_made_of", concentration_sql(LIB, list(LI_VARS), 1, 3, _made, "r.var1_name, r.var1_value, r.var2_name, r.var2_value, count, target"))(lambda s, d: reports.chosen_segments(reports.concentration(prepared(li(s, d), LI_VARS), list(LI_VARS), "y", 1, 3), 3, {"l_linestatus": "O", "l_discount": "<= 0.03"}).select("var1_name", "var1_value", "var2_name", "var2_value", "count", "target"))
 
 OCB = base_sql("oc", OC_VARS, "y, year")
 oc_prep = lambda s, d: prepared(oc(s, d), OC_VARS, ("y", "year"))
@@ -299,7 +354,7 @@ _oc3 = ["c_mktsegment", "o_orderpriority", "o_orderstatus"]
 query("corr_cramer", f"{OC} " + " union all ".join(f"select '{a}' as a, '{b}' as b, round({cramer_sql('oc', min(a, b), max(a, b)) if a != b else '1.0::double'}, 6) as corr" for a in _oc3 for b in _oc3))(lambda s, d: scores.cramer_matrix(oc(s, d), _oc3))
 query("corr_top", f"{LI}, c as ({corr_sql('li', _c3)}) select a, round(max(abs(corr)), 6) as abs_max, round(avg(abs(corr)), 6) as mean, round(median(abs(corr)), 6) as median, arg_max(b, abs(corr)) as best from c where a <> b group by a")(lambda s, d: scores.top_correlations(scores.correlations(li(s, d), _c3), 1).withColumn("best", F.col("top")[0]).drop("top"))
 query("legacy_var_stat", f"{base_sql('oc', OC_VARS)}, g as (" + " union all ".join(f"select '{c}' as var_name, {c} as \"group\", count(*)::bigint as n, sum(y)::bigint as t from b group by 2" for c in OC_VARS) + "), s as (select *, t / (sum(t) over (partition by var_name))::double as pt, (n - t) / (sum(n - t) over (partition by var_name))::double as pn from g), w as (select *, case when pt > 0 and pn > 0 then ln(pt / pn) end as woe from s) select var_name, \"group\", n as count, t as target, round(100 * t::double / n, 6) as target_rate, round(woe, 6) as woe, round(100 * (pt - pn) * woe, 6) as group_iv, round(sum(100 * (pt - pn) * woe) over (partition by var_name), 6) as total_iv from w")(lambda s, d: reports.legacy_iv(prepared(oc(s, d), OC_VARS), list(OC_VARS), "y"))
-query("legacy_cutoffs")(lambda s, d: exploded(legacy.legacy_cutoffs(li(s, d), NUM)))
+query("legacy_cutoffs", f"{legacy_sql('li', NUM)} select variable, round(value, 6) as cutoff from ends where from_end > 1")(lambda s, d: exploded(legacy.legacy_cutoffs(li(s, d), NUM)))
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
@@ -317,8 +372,8 @@ _fixed = {"c_acctbal": binning.Binning(cutoffs=BALANCE)}
 _wide = ["c_acctbal", "c_mktsegment", "o_orderkey", "o_orderpriority"]
 query("concentration_guarded", concentration_sql(OCB, list(OC_VARS), 1, 2))(lambda s, d: analysis.concentrated(oc(s, d), "y", 1, 2, _wide, binning=_fixed))
 query("stability_guarded", stability_sql(OCB, list(OC_VARS), 1, 1, "year") + " select * from stab")(lambda s, d: analysis.stable(oc(s, d), "year", names=_wide, target="y", binning=_fixed))
-query("ranked_variables", f"select var_name, total_iv, rank() over (order by total_iv desc, var_name)::int as place from (select distinct var_name, total_iv from ({iv_sql(base_sql('oc', OC_VARS), list(OC_VARS))}))")(lambda s, d: frame.numbered(r6(analysis.information(oc(s, d), "y", list(OC_VARS), binning=_fixed)[0]), [F.col("total_iv").desc(), F.col("var_name")], "place"))
-query("iv_report_tree")(lambda s, d: analysis.information(li(s, d), "y", NUM)[1])
+query("ranked_variables", f"select var_name, total_iv, rank() over (order by total_iv desc, var_name)::int as place from (select distinct var_name, total_iv from ({iv_sql(base_sql('oc', OC_VARS), list(OC_VARS))}))")(lambda s, d: frame.numbered(r6(analysis.information(oc(s, d), "y", list(OC_VARS), binning=_fixed)[0]), "total_iv", "place", ["var_name"], True))
+query("iv_report_tree", iv_sql(tree_base_sql("li", NUM, 15), NUM))(lambda s, d: analysis.information(li(s, d), "y", NUM)[1])
 query("eligible_columns", "select * from (select 'event_type' as variable, count(distinct event_type)::bigint as n_unique from events union all select 'value', count(distinct value)::bigint from events union all select 'props', count(distinct props)::bigint from events) where variable = 'value' or n_unique <= 20")(lambda s, d: analysis.eligible(parquet(s, d, "events"), ["event_type", "value", "props"]))
 query("cross_radius", f"with c as ({_cross}), k as (select * from c {_near}) select *, round(case when var2_name is not null then population / (select max(population) from k where var2_name is not null) / 2 end, 6) as radius from k")(lambda s, d: cross.with_radius(r6(cross.cross_report(prepared(oc(s, d), _two), "c_mktsegment", "o_orderpriority", "y", 4.0))))
 query("venn_totals", f"{OC}, p as (select {', '.join(f'({v}) as {k}' for k, v in _pred.items())}, y from oc) " + " union all ".join(f"select '{k}' as predicate, count(*) filter ({k})::bigint as n, round(100 * count(*) filter ({k})::double / count(*), 6) as population, coalesce(sum(y) filter ({k}), 0)::bigint as target, round(100 * sum(y) filter ({k})::double / nullif(count(*) filter ({k}), 0), 6) as target_rate from p" for k in _pred))(lambda s, d: cross.predicate_totals(oc(s, d), {k: F.expr(v) for k, v in _pred.items()}, "y"))

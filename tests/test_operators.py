@@ -10,6 +10,8 @@ from facetry.functions.labels import MISSING, NOT_MISSING, ORD, accuracy, bin_la
 from facetry.operators import binning, cross, frame, legacy, reports, scores
 from facetry.operators.cache import ReportCache
 from facetry.operators.running import running
+from facetry.sources import tables
+from facetry.streaming import counts
 
 
 def greedy(spark, values, min_prc=15.0, kind="int"):
@@ -150,6 +152,48 @@ def test_kendall(spark):
     assert scores.kendall(df, "a", "b").first()["tau"] == pytest.approx(1)
 
 
+def test_kendall_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(-9, 9, 400), rng.normal(size=400).round(1)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0), (1, None)], "a int, b double")
+    dx, dy = np.sign(x[:, None] - x[None]), np.sign(y[:, None] - y[None])
+    assert scores.kendall(df, "a", "b").first()["tau"] == pytest.approx((dx * dy).sum() / math.sqrt((dx**2).sum() * (dy**2).sum()))
+    assert scores.kendall(df.withColumn("b", F.lit(1.0)), "a", "b").first()["tau"] is None
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_numbered(spark, descending):
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 50 == 0 else float(v), f"k{i:04}") for i, v in enumerate(rng.integers(0, 60, 500))]
+    got = {r["k"]: r["place"] for r in frame.numbered(spark.createDataFrame(rows, "v double, k string"), "v", "place", ["k"], descending).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, 0 if r[0] is None else -r[0] if descending else r[0], r[1]))
+    assert got == {k: i for i, (_, k) in enumerate(order, 1)}
+
+
+def test_reports_as_files_and_html(spark, tmp_path):
+    df = spark.createDataFrame([("<a>", 1.5), (None, 2.0)], "g string, x double").coalesce(1)
+    assert tables.as_html(df) == "<table>\n<tr><th>g</th><th>x</th></tr>\n<tr><td>&lt;a&gt;</td><td>1.5</td></tr>\n<tr><td></td><td>2.0</td></tr>\n</table>"
+    with pytest.raises(ValueError):
+        tables.as_html(df, 1)
+    tables.write(df, str(tmp_path / "r"), "csv")
+    assert sorted(map(str, tables.csv(spark, str(tmp_path / "r")).collect())) == sorted(map(str, df.collect()))
+
+
+def test_stream_counts_equal_the_batch(spark, tmp_path):
+    rows = [(f"2024-01-0{1 + i % 5} 00:00:00", "ab"[i % 2], i % 3, int(i % 7 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "ts string, g string, k int, y int").withColumn("ts", F.to_timestamp("ts"))
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    key = lambda d: sorted(map(str, d.collect()))
+    q = counts.target_counts(stream(), ["g", "k"], "y").writeStream.format("memory").queryName("all_counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert key(spark.table("all_counts")) == key(reports.grouped_target(df, ["g", "k"], "y"))
+    q = counts.windowed_counts(stream(), "ts", "1 day", "30 days", ["g"], "y").writeStream.format("memory").queryName("daily").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    last = spark.table("daily").groupBy("start", "group").agg(F.max("n").alias("n"), F.max("t").alias("t"))
+    assert key(last) == key(df.groupBy(F.col("ts").alias("start"), F.col("g").alias("group")).agg(F.count("*").alias("n"), F.sum("y").alias("t")))
+
+
 def test_legacy_cutoffs_degenerate(spark):
     df = spark.createDataFrame([(3.0,)] * 4, "v double")
     assert legacy.legacy_cutoffs(df, ["v"]).first()["cutoffs"] == []
