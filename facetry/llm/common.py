@@ -196,6 +196,17 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(r, on, "left").drop(*[f"_r_{k}" for k in keys])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with so many underscores before it that no column of ``df`` is called so, letter case aside."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def row_keys(df: DataFrame) -> list[Column]:
     """Two hashes of a whole row, k1 and k2; only rows that are alike in every column share them."""
     plain = (StringType, BinaryType, BooleanType, NumericType, DateType, TimestampType, TimestampNTZType)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import cut, read, table
+from facetry.llm.common import cut, fresh, read, table
 
 #: Distinct sites that make a line boilerplate.
 MIN_SITES = 5
@@ -70,17 +70,18 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     bad = cut(spread_lines(lines.select("h1", "h2", "site"), min_sites)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = lines.drop("site").withColumn("salt", F.pmod(F.xxhash64("id", "sum", "at"), F.lit(SALTS)).cast("int"))
     hits = salted.join(bad, ["h1", "h2", "salt"], "left_semi").groupBy("id", "sum").agg(F.array_sort(F.collect_set("at")).alias("bad"), F.max("n_real").alias("n_real"))
-    hits = hits.select(F.col("id").alias("_id"), F.col("sum").alias("_sum"), "bad", (F.col("n_real") == F.size("bad")).alias("copied"))
-    known = docs.join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("_sum")) & F.col(text_col).isNotNull(), "left")
+    of, its, bad_at = fresh(docs, "_id", "_sum", "_bad")
+    hits = hits.select(F.col("id").alias(of), F.col("sum").alias(its), F.col("bad").alias(bad_at), (F.col("n_real") == F.size("bad")).alias("copied"))
+    known = docs.join(hits, F.col(id_col).eqNullSafe(F.col(of)) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col(its)) & F.col(text_col).isNotNull(), "left")
     known = known.withColumn("copied", F.coalesce("copied", F.lit(False)))
-    acts = F.col("bad").isNotNull() & ~F.col("copied")
+    acts = F.col(bad_at).isNotNull() & ~F.col("copied")
     # What lies between the removed places, slice by slice: the array of lines is bound once and each line copied once.
-    after = lambda j: F.coalesce(F.get("bad", j - 1), F.lit(-1)) + 1
-    kept = lambda lines: F.flatten(F.transform(F.sequence(F.lit(0), F.size("bad")), lambda j: F.slice(lines, after(j) + 1, F.coalesce(F.get("bad", j), F.size(lines)) - after(j))))
+    after = lambda j: F.coalesce(F.get(bad_at, j - 1), F.lit(-1)) + 1
+    kept = lambda lines: F.flatten(F.transform(F.sequence(F.lit(0), F.size(bad_at)), lambda j: F.slice(lines, after(j) + 1, F.coalesce(F.get(bad_at, j), F.size(lines)) - after(j))))
     clean = F.array_join(F.transform(F.array(text_lines(F.col(text_col))), kept)[0], "\n")
     breaks = F.length(text_col) - F.length(F.translate(text_col, "\n", ""))
     out = known.withColumn("n_lines", F.coalesce(breaks + 1, F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.when(acts, F.size("bad")).otherwise(0).cast("long"))
+    out = out.withColumn("n_removed", F.when(acts, F.size(bad_at)).otherwise(0).cast("long"))
     return out.withColumn(text_col, F.when(acts, clean).otherwise(F.col(text_col))).select(*docs.columns, "n_lines", "n_removed", "copied")
 
 
