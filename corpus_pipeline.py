@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import read, shared_dir
+from facetry.llm.common import fresh, read, shared_dir
 from facetry.llm.op1_pieces import encoded
 from facetry.llm.op3_lines import without_boilerplate
 from facetry.llm.op6_quality import learnable, quality_filter, train
@@ -38,10 +38,11 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     It is the one of the smallest id, null ids last; repeated rows leave one.
     """
-    keyed = docs.withColumn("_h", F.xxhash64("text")).withColumn("_k", F.xxhash64("doc_id", "_h"))
-    groups = similar_texts(keyed.select(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_h", "_k").alias("doc_id"), "text"))
-    kept = groups.where(F.col("doc_id") == F.col("component")).select(F.col("doc_id._k").alias("_k")).distinct()
-    return keyed.join(kept, "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
+    h, k = fresh(docs, "_h", "_k")
+    keyed = docs.withColumn(h, F.xxhash64("text")).withColumn(k, F.xxhash64("doc_id", h))
+    groups = similar_texts(keyed.select(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", F.col(h).alias("_h"), F.col(k).alias("_k")).alias("doc_id"), "text"))
+    kept = groups.where(F.col("doc_id") == F.col("component")).select(F.col("doc_id._k").alias(k)).distinct()
+    return keyed.join(kept, k, "left_semi").dropDuplicates([k]).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
