@@ -34,7 +34,7 @@ NAMES = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "passcode": 0.9, "pw
 SIFT["lexed"] = "(?i)(" + "|".join(r"[^A-Za-z0-9\n]*".join(n) for n in NAMES) + ")"
 PLACEHOLDER = re.compile(r"(?i)^(none|null|nil|true|false|undefined|changeme|example|placeholder|redacted|your[-_ ]?.*|x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|todo|test|password|secret|token|str|string|int|bytes|optional)$")
 LEX = re.compile(
-    r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<tag><(?P<tname>[A-Za-z_][\w.:-]*)[^<>\n]*>(?P<tval>[^<>\n]*)</)|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:])|(?P<num>\d[\w.+/-]*)|(?P<nl>\n)|(?P<open>[\[({,;+])|(?P<close>[\])}])|(?P<word>[^\s"'`\[\](){},;]+)""",
+    r"""(?P<str>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)|(?P<tag><(?P<tname>[A-Za-z_][\w.:-]*+)[^<>\n]*+>(?P<tval>[^<>\n]*+)</)|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:])|(?P<num>\d[\w.+/-]*)|(?P<nl>\n)|(?P<open>[\[({,;+])|(?P<close>[\])}])|(?P<word>(?:\\["'`]|[^\s"'`\[\](){},;])+)""",
 )
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]]+")
 
@@ -59,27 +59,38 @@ def plausibility(literal: str) -> float:
 def lexed(text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals, without their quotes, that reach a sensitive name with at least this score."""
     found: dict[tuple[int, int], float] = {}
-    known: dict[str, list[tuple[int, int]]] = {}
-
-    def bind(name: str, spans: list[tuple[int, int]]) -> None:
-        known[name] = spans
-        if s := sensitivity(name):
-            for a, b in spans:
+    # A value is its own literals and the values of the names in it, so that sums of names grow no lists.
+    values: list[tuple[list[tuple[int, int]], list[int]]] = []
+    reached: list[float] = []
+    known: dict[str, int] = {}
+
+    def bind(name: str, spans: list[tuple[int, int]], parts: list[int]) -> None:
+        known[name] = len(values)
+        values.append((spans, parts))
+        reached.append(0.0)
+        s, to = sensitivity(name), [known[name]]
+        while to:
+            if reached[at := to.pop()] >= s:
+                continue
+            reached[at] = s
+            for a, b in values[at][0]:
                 if (score := s * plausibility(text[a:b])) >= least:
                     found[a, b] = max(score, found.get((a, b), 0))
+            to += values[at][1]
 
     tokens = [m for m in LEX.finditer(text)]
-    k = 0
+    k, begin, bare, inside = 0, 0, 0, 0  # the last bare word's start and end, and its last token
     while k < len(tokens):
         m = tokens[k]
         if m.lastgroup == "tag" or m["tag"]:
-            bind(m["tname"], [m.span("tval")])
+            bind(m["tname"], [m.span("tval")], [])
         name = m["name"] or (m["str"][1:-1] if m["str"] else None)
         at = k + 1
-        while at < len(tokens) and tokens[at]["close"]:  # obj["name"] = x
+        while name and at < len(tokens) and tokens[at]["close"]:  # obj["name"] = x
             at += 1
         if name and at < len(tokens) and (op := tokens[at]["op"]) in ("=", ":", ":=", "=>"):
             spans: list[tuple[int, int]] = []
+            parts: list[int] = []
             at += 1
             typed = op == ":"
             while at < len(tokens):
@@ -87,22 +98,25 @@ def lexed(text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
                 if v["str"]:
                     spans.append((v.start() + 1, v.end() - 1))
                 elif v["name"] and v["name"] in known:
-                    spans += known[v["name"]]
+                    parts.append(known[v["name"]])
                 elif typed and v["name"] and at + 1 < len(tokens) and tokens[at + 1]["op"] == "=":  # name: type = value
                     at, typed = at + 2, False
                     continue
                 elif v["nl"] or v["close"]:
                     break
-                elif (w := BARE.match(text, v.start())) and not v["open"]:
-                    spans.append(w.span())
-                    while at + 1 < len(tokens) and tokens[at + 1].start() < w.end():
-                        at += 1
+                elif not v["open"] and (begin <= v.start() < bare or (w := BARE.match(text, v.start()))):
+                    if not begin <= v.start() < bare:
+                        (begin, bare), inside = w.span(), at
+                        while inside + 1 < len(tokens) and tokens[inside + 1].start() < bare:
+                            inside += 1
+                    spans.append((v.start(), bare))
+                    at = inside
                 if at + 1 < len(tokens) and (tokens[at + 1]["open"] == "+" or tokens[at + 1]["str"] and v["str"]):
                     at += 1 + (tokens[at + 1]["open"] == "+")  # a sum, or literals side by side
                     continue
                 break
-            if spans:
-                bind(name, spans)
+            if spans or parts:
+                bind(name, spans, parts)
             k = max(k + 1, at if not (at < len(tokens) and tokens[at]["name"]) else min(at, k + 1))
             continue
         k += 1

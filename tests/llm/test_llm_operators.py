@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,6 +15,8 @@ import sentencepiece
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from facetry.llm import op1_pieces, op2_tokens, op3_lines, op4_secrets, op5_embeddings, op6_quality, op7_simhash, op8_lm, op9_minhash, op10_mixing
@@ -154,6 +157,33 @@ def test_the_sift_lets_every_name_through(spark, line):
     assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "lexed"] == [(at, at + 12)]
 
 
+def test_names_reach_literals_through_sums():
+    text = 'a = "Zx81kkQ0aPm2"\nb = a + "Yw72jjR1bQn3"\nc = b + b + a\napi_key = c + c'
+    assert sorted(text[a:b] for a, b, _ in op4_secrets.lexed(text)) == ["Yw72jjR1bQn3", "Zx81kkQ0aPm2"]
+    text = "k=v=token=Zx81kkQ0aPm2 secret=Yw72jjR1bQn3"
+    assert [text[a:b] for a, b, _ in op4_secrets.lexed(text)] == ["Zx81kkQ0aPm2", "Yw72jjR1bQn3"]
+
+
+@pytest.mark.parametrize("text", ['\\"' * 100_000, "<" + "a" * 100_000, "a=" * 50_000, "x = )" + ")" * 100_000, 'x = "abcdefgh1"; ' + "x = x + x ; " * 5000, "a = a + b\n" * 20_000])
+def test_the_lexer_takes_long_texts_in_linear_time(text):
+    started = time.process_time()
+    op4_secrets.lexed(text + " password")
+    assert time.process_time() - started < 20
+
+
+def test_columns_may_have_the_names_of_inner_ones(spark):
+    import corpus_pipeline
+
+    d = docs(spark, [f"own {i}\nboiler plate of some words" for i in range(6)] + ["own 0\nboiler plate of some words", None], None, [f"s{i}" for i in range(8)])
+    names = ["_id", "_sum", "_bad", "bad", "sum", "_H", "_k", "__k", "key", "n_real", "at", "round", "component"]
+    wide = d.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"kept {n}").alias(n) for n in names])
+    for f in (corpus_pipeline.lines, corpus_pipeline.duplicates, corpus_pipeline.mix):
+        plain = f(spark, d.select("doc_id", "text", "lang", "source", "n_chars"), "").collect()
+        got = f(spark, wide, "").collect()
+        assert sorted(map(repr, plain)) == sorted(repr(Row(**dict(zip(r.__fields__[:5], r[:5], strict=True)))) for r in got)
+        assert got and all(r[n] == f"kept {n}" for r in got for n in names)
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(300, 16))
